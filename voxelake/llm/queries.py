@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelake.llm import mixing, url_filter
+from voxelake.llm import bpe, mixing, secret_scan, url_filter
 from voxelake.llm.common import read
 
 RULES = [
@@ -18,6 +18,11 @@ RULES = [
 LISTED_DIGITS = ["0", "1", "2"]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda host: F.substring(F.md5(host), 1, 1).isin(*LISTED_DIGITS)
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), RULES, listed)
@@ -56,8 +61,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.default_tokenizer())
+
+
 def llm_catalogue() -> dict:
     return {
+        "op1_secret_scan": (op1_secret_scan, None),
         "op4_url_filter": (op4_url_filter, OP4_SQL),
         "op8_mixing": (op8_mixing, None),
+        "op10_bpe": (op10_bpe, None),
     }
