@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelake.llm import bpe, mixing, secret_scan, url_filter
+from voxelake.llm import bpe, langid, media, mixing, secret_scan, url_filter
 from voxelake.llm.common import read
 
 RULES = [
@@ -57,6 +57,14 @@ FROM r
 """
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(read(spark, sf_dir, "documents")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -69,6 +77,8 @@ def llm_catalogue() -> dict:
     return {
         "op1_secret_scan": (op1_secret_scan, None),
         "op4_url_filter": (op4_url_filter, OP4_SQL),
+        "op6_media": (op6_media, None),
+        "op7_langid": (op7_langid, None),
         "op8_mixing": (op8_mixing, None),
         "op10_bpe": (op10_bpe, None),
     }
