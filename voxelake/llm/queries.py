@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxelake.llm import bpe, chat, langid, media, mixing, secret_scan, url_filter, warc
+from voxelake.llm import ann_forest, bpe, chat, langid, media, mixing, secret_scan, simhash, url_filter, warc
 from voxelake.llm.common import read
 
 RULES = [
@@ -23,6 +23,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, close=3)
+
+
+def op3_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda host: F.substring(F.md5(host), 1, 1).isin(*LISTED_DIGITS)
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), RULES, listed)
@@ -104,6 +112,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_catalogue() -> dict:
     return {
         "op1_secret_scan": (op1_secret_scan, None),
+        "op2_simhash": (op2_simhash, None),
+        "op3_ann_forest": (op3_ann_forest, None),
         "op4_url_filter": (op4_url_filter, OP4_SQL),
         "op5_chat": (op5_chat, OP5_SQL),
         "op6_media": (op6_media, None),
