@@ -1,4 +1,61 @@
-"""The corpus pipeline (filled in stage by stage)."""
+"""The corpus pipeline: documents in, tokens out, by five of the training-data operators.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxelake.llm import bpe, langid, mixing, secret_scan, simhash
+from voxelake.llm.common import read, tune, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of undetermined language: null texts and texts of no letter."""
+    tune(spark)
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group of near duplicates."""
+    tune(spark)
+    return simhash.deduplicate(docs, words=3, close=3)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by a mark; every document stays."""
+    tune(spark)
+    return secret_scan.redact_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give each document the number of copies that brings its source to its target."""
+    tune(spark)
+    return mixing.apply_mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode: (doc_id, n_tokens, ids_sha256, decoded_sha256), a row per copy."""
+    tune(spark)
+    return bpe.round_trip(docs, bpe.default_tokenizer())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("secrets", secrets),
+    ("mix_sources", mix_sources),
+    ("tokenize", tokenize),
+]
+
+#: SQL cannot express the classifier, the fingerprints and the tokenizer: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

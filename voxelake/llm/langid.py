@@ -202,3 +202,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     out = held_out(id_col)
     model = train(docs.filter(F.col(id_col).isNotNull() & ~out), id_col, text_col, lang_col)
     return predict(docs, model, [F.col(id_col), out.alias("held_out")], text_col)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language the model can tell, with all their columns: rows that `identify` calls ``und`` go."""
+    model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)), id_col, text_col, lang_col)
+
+    def run(batches):
+        letters = letter_table()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.predict(t, letters)[0] != "und" for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -70,7 +70,7 @@ def newton(cells: str, target: str, cap: float) -> Column:
     return F.expr(f"aggregate(sequence(1, {NEWTON_STEPS}), {start}, (s, k) -> {step}, s -> s.at)")
 
 
-def mix(
+def copies_by_key(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -81,13 +81,8 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
 ) -> DataFrame:
-    """(``id_col``, source_size, size, target, rate, copies, taken): a row per input row.
-
-    ``size`` defaults to the words of ``text``; ``tilt`` (positive, few distinct values) to 1, which treats all
-    documents of a source alike. Null sources are one source, the last. Documents of no words take none but still
-    get copies by their rate. Repeated rows of one id, source and size get the same copies. An empty table gives an
-    empty result. Reruns agree: ties are broken by hashes of ids, never by row order. Other columns are ignored.
-    """
+    """(id, source, size, times, words, target, rate, copies): a row for each distinct id, source, size and tilt,
+    which ``times`` rows have; ``words`` and ``target`` are the source's."""
     sized = docs.select(
         F.col(id_col).alias("__id"),
         F.col(source_col).alias("__source"),
@@ -112,11 +107,15 @@ def mix(
     rows = rows.join(sources, F.col("__source").eqNullSafe(F.col("__name")))
     rows = rows.withColumn("__rate", F.least(F.lit(float(cap)), F.exp(F.col("__lambda") * F.col("__tilt"))))
     bucket = F.pmod(F.xxhash64("__id", "__size"), F.greatest(F.lit(1), F.ceil(F.col("__rows") / BUCKET_ROWS)))
-    packed = rows.groupBy("__source", "__words", "target", bucket.alias("__bucket")).agg(
-        F.array_sort(
-            F.collect_list(F.struct((-F.col("__size")).alias("k"), F.xxhash64("__id").alias("h"), F.col("__id").alias("id"), F.col("__size").alias("size"), F.col("__rate").alias("rate"), F.col("__times").alias("times")))
-        ).alias("__docs")
+    doc = F.struct(
+        (-F.col("__size")).alias("k"),
+        F.xxhash64("__id").alias("h"),
+        F.col("__id").alias("id"),
+        F.col("__size").alias("size"),
+        F.col("__rate").alias("rate"),
+        F.col("__times").alias("times"),
     )
+    packed = rows.groupBy("__source", "__words", "target", bucket.alias("__bucket")).agg(F.array_sort(F.collect_list(doc)).alias("__docs"))
     floor = "cast(floor(d.rate) as int)"
     wanted = f"greatest({floor}, least({floor} + 1, cast(floor({cap}) as int), cast(floor((d.rate * d.size * d.times + a.owed) / (d.size * d.times) + 0.5D) as int)))"
     copies = f"if(d.size = 0, cast(floor(d.rate + 0.5D) as int), {wanted})"
@@ -124,15 +123,41 @@ def mix(
         "aggregate(__docs, named_struct('owed', 0D, 'out', cast(array() as array<int>)), (a, d) -> element_at(transform(array("
         f"{copies}), n -> named_struct('owed', a.owed + (d.rate - n) * d.size * d.times, 'out', concat(a.out, array(n)))), 1), a -> a.out)"
     )
-    out = packed.withColumn("__copies", F.expr(diffused)).select("__words", "target", F.explode(F.arrays_zip("__docs", "__copies")).alias("x"))
-    out = out.select("__words", "target", "x.__docs", F.col("x.__copies").alias("copies"))
-    out = out.select("__words", "target", "__docs", "copies", F.explode(F.sequence(F.lit(1), F.col("__docs.times"))).alias("__nth"))
+    out = packed.withColumn("__copies", F.expr(diffused))
+    out = out.select(F.col("__source").alias("source"), F.col("__words").alias("words"), "target", F.explode(F.arrays_zip("__docs", "__copies")).alias("x"))
+    doc = F.col("x.__docs")
     return out.select(
-        F.col("__docs.id").alias(id_col),
-        F.col("__docs.size").alias("size"),
-        F.col("__words").alias("source_size"),
-        "target",
-        F.col("__docs.rate").alias("rate"),
-        "copies",
-        (F.col("__docs.size") * F.col("copies")).cast("long").alias("taken"),
+        doc["id"].alias("id"), "source", doc["size"].alias("size"), doc["times"].alias("times"), "words", "target", doc["rate"].alias("rate"), F.col("x.__copies").alias("copies")
+    )
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """(``id_col``, size, source_size, target, rate, copies, taken): a row per input row.
+
+    Options: ``source_col``; ``size``, by default the words of ``text``; ``tilt`` (positive, few distinct values),
+    by default 1, which treats all documents of a source alike; ``weights``, ``share`` and ``cap`` as in
+    `source_targets`. Null sources are one source, the last. Documents of no words take none but still get copies by
+    their rate. Repeated rows of one id, source and size get the same copies. An empty table gives an empty result.
+    Reruns agree: ties are broken by hashes of ids, never by row order. Other columns are ignored.
+    """
+    out = copies_by_key(docs, id_col=id_col, **options)
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return out.select(
+        F.col("id").alias(id_col), "size", F.col("words").alias("source_size"), "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken")
+    )
+
+
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as `mix` gives it copies, with its own columns.
+
+    ``size``, if given, is taken from the columns of ``docs``. Edge cases are those of `mix`.
+    """
+    keys = copies_by_key(docs, id_col=id_col, source_col=source_col, **options)
+    keys = written(keys.select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "copies")]).filter("__copies > 0"), "copies")
+    size = options.get("size")
+    own = word_count(F.col("text")) if size is None else size.cast("long")
+    joined = docs.withColumn("__own", own).join(
+        keys, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
     )
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("__nth")).select(*names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxelake.llm import ann_forest, bpe, chat, langid, media, mixing, secret_scan, simhash, url_filter, warc
@@ -121,4 +122,5 @@ def llm_catalogue() -> dict:
         "op8_mixing": (op8_mixing, None),
         "op9_warc": (op9_warc, None),
         "op10_bpe": (op10_bpe, None),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }

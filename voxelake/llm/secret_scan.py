@@ -224,3 +224,23 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = f"`{id_col}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, redacted string"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, schema)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", threshold: float = MIN_LOG10_GUESSES) -> DataFrame:
+    """The rows with all their columns, every span that `scan_secrets` finds in the text replaced by a mark.
+
+    The column of character counts follows the text where it changed. Null texts stay null.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at, chars = batch.schema.get_field_index(text_col), batch.schema.get_field_index(chars_col)
+            texts, counts = batch.column(at).to_pylist(), batch.column(chars).to_pylist()
+            for i, text in enumerate(texts):
+                if text and (spans := base_spans(text) + guess_spans(text, threshold)):
+                    texts[i] = redact(text, spans)
+                    counts[i] = len(texts[i])
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -237,3 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = written(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "of_fp")
     out = prints.join(of_fp, F.col("fp") == F.col("fp_"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with all their columns whose id is the smallest of their `near_duplicates` component.
+
+    Rows that repeat an id are one document and stay together. Rows of null id stay only where a component has no id.
+    """
+    named = near_duplicates(docs, id_col, text_col, **options)
+    kept = named.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
+    return docs.join(written(kept, "kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
