@@ -1 +1 @@
-
+"""Files and services as Spark data sources."""
