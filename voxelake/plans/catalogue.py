@@ -2,12 +2,729 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from voxelake.dims import IOD_PROFILES, TAG_OF, TRANSFER_SYNTAXES
+from voxelake.functions import dates, person_name as pn, pixels as px, tags, text, uids
+from voxelake.operators import deid, djson, frames, model, multipart, qido, service, transfer, validate
+from voxelake.plans.projection import MODALITIES, PIXEL_KEYS, SYNTAXES, instances, pixel_fields, studies, study_dataset
+from voxelake.session import table
+from voxelake.sources import dicom_file, dicomweb
+from voxelake.streaming import store
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return keep
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    return {}
+    return dict(_QUERIES)
+
+
+# --- SQL shared by the oracles --------------------------------------------------------------------------------------
+
+
+def _case(key: str, table_: dict, otherwise: str = "NULL") -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + f" ELSE {otherwise} END"
+
+
+STUDIES = f"""
+studies AS (
+  SELECT o_orderkey, 'MRN-' || o_custkey AS PatientID, replace(c_name, '#', '^') AS PatientName,
+         '1.2.826.0.1.3680043.8.498.1.' || o_orderkey AS StudyInstanceUID, strftime(o_orderdate, '%Y%m%d') AS StudyDate,
+         {_case("substr(o_orderpriority, 1, 1)", {k: v[0] for k, v in MODALITIES.items()})} AS Modality,
+         {_case("substr(o_orderpriority, 1, 1)", {k: v[1] for k, v in MODALITIES.items()})} AS SOPClassUID,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'absent' WHEN o_orderkey % 7 = 0 THEN 'empty' ELSE 'filled' END AS accession_state
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+BITS_SQL = "[8, 16, 24, 32, 16, 8, 1][(l_linenumber - 1) % 7 + 1]"
+INSTANCES = f"""
+instances AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+         '1.2.826.0.1.3680043.8.498.3.' || l_orderkey || '.' || l_partkey || '.' || l_suppkey || '.' || l_linenumber || '.' || CAST(round(l_extendedprice * 100) AS BIGINT) AS SOPInstanceUID,
+         '1.2.826.0.1.3680043.8.498.2.' || l_orderkey || '.' || l_suppkey AS SeriesInstanceUID,
+         {list(SYNTAXES)}[(l_linenumber - 1) % 7 + 1] AS TransferSyntaxUID,
+         1 AS SamplesPerPixel, CAST(l_quantity AS INTEGER) AS Rows, CAST(l_quantity AS INTEGER) % 7 AS Columns,
+         {BITS_SQL} AS BitsAllocated, {BITS_SQL} AS BitsStored,
+         {BITS_SQL} - CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS HighBit,
+         CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS PixelRepresentation,
+         CASE WHEN l_returnflag = 'A' THEN 'MONOCHROME1' ELSE 'MONOCHROME2' END AS PhotometricInterpretation,
+         CAST(l_linenumber AS INTEGER) AS NumberOfFrames
+  FROM lineitem
+)"""
+SYNTAX_VALUES = ", ".join(f"('{u}', '{n}', {le}, {ex}, {en})" for u, n, le, ex, en in TRANSFER_SYNTAXES)
+
+
+def _remap_sql(uid: str) -> str:
+    return f"'{uids.DEFAULT_ROOT}.' || substr(CAST(CAST('0x' || substr(sha256('{uids.DEFAULT_SALT}' || chr(0) || {uid}), 1, 32) AS UHUGEINT) AS VARCHAR), 1, 59)"
+
+
+def _shift_sql(value: str, days: str) -> str:
+    return f"coalesce(strftime(try_strptime(substr({value}, 1, 8), '%Y%m%d') + to_days(CAST({days} AS INTEGER)), '%Y%m%d') || substr({value}, 9), {value})"
+
+
+def _new_folder(spark: SparkSession, label: str) -> str:
+    """A folder all executors reach: in the cluster's spark.checkpoint.dir, or (local tests) a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxelake-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+# --- tags and datasets ----------------------------------------------------------------------------------------------
+
+TAG_TEXTS = ["PatientName", " (0010,0020) ", "10,10", "7fe00010", "(0008, 103e)", "NoSuchKeyword", "0011,1001", "12345"]
+TAG_EXPECTED = ["00100010", "00100020", "00100010", "7FE00010", "0008103E", None, "00111001", None]
+
+
+@query(
+    "SELECT n_nationkey, [" + ", ".join(f"'{t}'" for t in TAG_TEXTS) + "][n_nationkey % 8 + 1] AS raw, ["
+    + ", ".join("NULL" if t is None else f"'{t}'" for t in TAG_EXPECTED) + "][n_nationkey % 8 + 1] AS tag8 FROM nation"
+)
+def tag_parse(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, TAG_TEXTS)), F.col("n_nationkey") % 8 + 1)
+    return table(spark, d, "nation").select("n_nationkey", raw.alias("raw")).withColumn("tag8", tags.parse_tag(F.col("raw")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, printf('%04X%04X', l_partkey % 65536, l_suppkey % 65536) AS tag8,
+       (l_partkey % 65536) * 65536 + l_suppkey % 65536 AS tag_value, (l_partkey % 65536) % 2 = 1 AS is_private,
+       printf('(%04X,%04X)', l_partkey % 65536, l_suppkey % 65536) AS label
+FROM lineitem
+""")
+def tag_private(spark, d):
+    tag = tags.tag_of_pair(F.col("l_partkey") % 65536, F.col("l_suppkey") % 65536)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tag.alias("tag8"))
+    return rows.withColumns({"tag_value": tags.tag_value(F.col("tag8")), "is_private": tags.is_private(F.col("tag8")), "label": tags.tag_label(F.col("tag8"))})
+
+
+@query(f"""
+WITH {STUDIES}
+SELECT o_orderkey, 'Tag.SOPClassUID, Tag.StudyDate, ' || CASE WHEN accession_state = 'absent' THEN 'Tag.Modality' ELSE 'Tag.AccessionNumber' END
+       || ', ... (' || (6 + CASE WHEN accession_state = 'absent' THEN 0 ELSE 1 END + o_orderkey % 2) || ')' AS summary
+FROM studies
+""")
+def tag_order(spark, d):
+    return studies(spark, d).select("o_orderkey", model.summary(study_dataset()).alias("summary"))
+
+
+ELEMENT_SQL = f"""
+WITH {STUDIES}, elements AS (
+  SELECT o_orderkey, '00080016' AS tag8, SOPClassUID AS value FROM studies
+  UNION ALL SELECT o_orderkey, '00080020', StudyDate FROM studies
+  UNION ALL SELECT o_orderkey, '00080060', Modality FROM studies
+  UNION ALL SELECT o_orderkey, '00100010', PatientName FROM studies
+  UNION ALL SELECT o_orderkey, '00100020', PatientID FROM studies
+  UNION ALL SELECT o_orderkey, '0020000D', StudyInstanceUID FROM studies
+  UNION ALL SELECT o_orderkey, '00080050', CASE WHEN accession_state = 'empty' THEN '' ELSE 'ACC' || o_orderkey END FROM studies WHERE accession_state <> 'absent'
+  UNION ALL SELECT o_orderkey, '00111001', 'private' FROM studies WHERE o_orderkey % 2 = 1
+)"""
+
+
+@query(f"{ELEMENT_SQL} SELECT * FROM elements")
+def element_explode(spark, d):
+    return studies(spark, d).select("o_orderkey", F.explode(study_dataset()).alias("tag8", "value"))
+
+
+@query(f"{ELEMENT_SQL} SELECT * FROM elements WHERE tag8 <> '00111001'")
+def private_filter(spark, d):
+    return studies(spark, d).select("o_orderkey", F.explode(model.without_private(study_dataset())).alias("tag8", "value"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 2 AS INTEGER) AS removed FROM orders")
+def private_count(spark, d):
+    return studies(spark, d).select("o_orderkey", model.count_private(study_dataset()).alias("removed"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, 'second' AS patient_id, CAST(6 + CASE WHEN accession_state = 'absent' THEN 0 ELSE 1 END + o_orderkey % 2 AS INTEGER) AS n FROM studies")
+def dataset_upsert(spark, d):
+    changes = F.map_concat(model.dataset({TAG_OF["PatientID"]: F.lit("first")}), model.dataset({TAG_OF["PatientID"]: F.lit("second")}))
+    ds = model.upsert(study_dataset(), changes)
+    return studies(spark, d).select("o_orderkey", model.require(ds, TAG_OF["PatientID"]).alias("patient_id"), F.size(ds).alias("n"))
+
+
+NESTED_NAMES = [TAG_OF["PatientName"], TAG_OF["ReferencedSeriesSequence"]]
+
+
+def _nested_json(spark, d) -> DataFrame:
+    """A study with a sequence of one item in it, and a private element in that."""
+    body = F.concat(
+        F.lit('{"00100010":{"vr":"PN","Value":[{"Alphabetic":"'), F.col("PatientName"), F.lit('"}]},"00081115":{"vr":"SQ","Value":[{"00100010":{"vr":"PN","Value":[{"Alphabetic":"Inner"}]},"00080018":{"vr":"UI","Value":["'),
+        F.col("StudyInstanceUID"), F.lit('"]},"00111001":{"vr":"LO","Value":["x"]}}]}}'),
+    )
+    return studies(spark, d).select("o_orderkey", "StudyInstanceUID", body.alias("dataset"))
+
+
+@query("""
+SELECT o_orderkey, 0 AS depth, '00100010' AS tag8, false AS is_private FROM orders
+UNION ALL SELECT o_orderkey, 0, '00081115', false FROM orders
+UNION ALL SELECT o_orderkey, 1, '00100010', false FROM orders
+UNION ALL SELECT o_orderkey, 1, '00080018', false FROM orders
+UNION ALL SELECT o_orderkey, 1, '00111001', true FROM orders
+""")
+def nested_elements(spark, d):
+    return model.elements(_nested_json(spark, d), "o_orderkey", "dataset").select("o_orderkey", F.size("path").alias("depth"), "tag8", "is_private")
+
+
+@query("SELECT o_orderkey, CAST(1 AS BIGINT) AS removed, CAST(4 AS BIGINT) AS kept FROM orders")
+def nested_private_count(spark, d):
+    found = model.elements(_nested_json(spark, d), "o_orderkey", "dataset")
+    _, counted = model.private_removed(found)
+    return found.groupBy("o_orderkey").agg(F.count_if(counted).alias("removed"), F.count_if(~F.exists("path", tags.is_private) & ~F.col("is_private")).alias("kept"))
+
+
+# --- identifiers and dates ------------------------------------------------------------------------------------------
+
+UID_CASES = ["1.2.840.10008.1.1", "1.2.03.4", "", "1..2.3", "1.2.a", ".1.2", "0", "1.0.2"]
+
+
+@query(
+    f"WITH {INSTANCES}, c AS (SELECT *, CASE WHEN l_linenumber = 7 THEN [" + ", ".join(f"'{u}'" for u in UID_CASES)
+    + "][cents % 8 + 1] ELSE SOPInstanceUID END AS uid FROM instances) SELECT l_orderkey, l_linenumber, cents, uid, "
+    "length(uid) <= 64 AND regexp_full_match(uid, '(0|[1-9][0-9]*)(\\.(0|[1-9][0-9]*))*') AS valid FROM c"
+)
+def uid_valid(spark, d):
+    uid = F.when(F.col("l_linenumber") == 7, F.element_at(F.array(*map(F.lit, UID_CASES)), (F.col("cents") % 8 + 1).cast("int"))).otherwise(F.col("SOPInstanceUID"))
+    return instances(spark, d).select("l_orderkey", "l_linenumber", "cents", uid.alias("uid")).withColumn("valid", uids.is_valid_uid(F.col("uid")))
+
+
+@query(f"SELECT o_orderkey, {_remap_sql(chr(39) + '1.2.826.0.1.3680043.8.498.1.' + chr(39) + ' || o_orderkey')} AS uid FROM orders")
+def uid_remap(spark, d):
+    uid = F.concat(F.lit("1.2.826.0.1.3680043.8.498.1."), F.col("o_orderkey").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", uids.remap_uid(uid).alias("uid"))
+
+
+@query(f"WITH {INSTANCES} SELECT count(DISTINCT SeriesInstanceUID) AS before, count(DISTINCT SeriesInstanceUID) AS after FROM instances")
+def uid_relationship(spark, d):
+    rows = instances(spark, d).select("SeriesInstanceUID").withColumn("new", uids.remap_uid(F.col("SeriesInstanceUID")))
+    return rows.agg(F.count_distinct("SeriesInstanceUID").alias("before"), F.count_distinct("new").alias("after"))
+
+
+@query("SELECT o_orderkey, true AS valid, true AS fits FROM orders")
+def uid_generate(spark, d):
+    made = table(spark, d, "orders").select("o_orderkey", uids.generate_uid("1.2.3").alias("uid"))
+    return made.select("o_orderkey", uids.is_valid_uid(F.col("uid")).alias("valid"), (F.length("uid") <= 64).alias("fits"))
+
+
+@query(f"SELECT o_orderkey, {_shift_sql('strftime(o_orderdate, ' + chr(39) + '%Y%m%d' + chr(39) + ')', 'o_orderkey % 730 - 365')} AS shifted FROM orders")
+def date_shift_da(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", dates.shift_date(F.date_format("o_orderdate", "yyyyMMdd"), (F.col("o_orderkey") % 730 - 365).cast("int")).alias("shifted"))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '99991399' WHEN 1 THEN '2026' ELSE strftime(ts, '%Y%m%d%H%M%S.%f') END AS dt FROM events)
+SELECT event_id, {_shift_sql('dt', '30')} AS shifted FROM e
+""")
+def date_shift_dt(spark, d):
+    dt = F.when(F.col("event_id") % 5 == 0, F.lit("99991399")).when(F.col("event_id") % 5 == 1, F.lit("2026")).otherwise(F.date_format("ts", "yyyyMMddHHmmss.SSSSSS"))
+    return table(spark, d, "events").select("event_id", dates.shift_date(dt, 30).alias("shifted"))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+CHARSET_TEXTS = ["", "ISO_IR 100", "iso ir 192", "utf-8", "\\ISO 2022 IR 87", "ISO_2022_IR_149\\iso_ir_6", "nonsense", "GB18030"]
+CHARSET_TERMS = ["ISO_IR 6", "ISO_IR 100", "ISO_IR 192", "ISO_IR 192", "ISO 2022 IR 87", "ISO 2022 IR 149|ISO_IR 6", "NONSENSE", "GB18030"]
+CHARSET_CODECS = ["ascii", "latin_1", "utf-8", "utf-8", "iso2022_jp", "iso2022_kr|ascii", None, "gb18030"]
+_pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+_pick_sql = lambda values, key: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][{key} % {len(values)} + 1]"
+
+
+@query(f"SELECT doc_id, {_pick_sql(CHARSET_TERMS, 'doc_id')} AS terms FROM documents")
+def charset_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.normalize_charset(_pick(CHARSET_TEXTS, "doc_id")), "|").alias("terms"))
+
+
+@query(f"SELECT doc_id, {_pick_sql(CHARSET_CODECS, 'doc_id')} AS codecs FROM documents")
+def charset_codecs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.charset_codecs(_pick(CHARSET_TEXTS, "doc_id")), "|").alias("codecs"))
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS encodable FROM documents")
+def text_encodable_ascii(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.can_encode(F.col("text"), F.lit("")).alias("encodable"))
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]') AS encodable FROM documents")
+def text_encodable_latin1(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.can_encode(F.col("text"), F.lit("ISO_IR 100")).alias("encodable"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def text_roundtrip(spark, d):
+    charset = F.lit("GB18030")
+    rows = table(spark, d, "documents").select("doc_id", "text").withColumn("data", text.encode_text(F.col("text"), charset))
+    return rows.select("doc_id", (text.decode_text(F.col("data"), charset) == F.col("text")).alias("same"))
+
+
+@query("""
+SELECT c_custkey, split_part(c_name, '#', 1) AS family_name, split_part(c_name, '#', 2) AS given_name, '' AS middle_name, 'Dr' AS name_prefix,
+       'PhD' AS name_suffix, 'Ideo' || c_custkey AS ideographic, replace(c_name, '#', '^') || '^^Dr^PhD=Ideo' || c_custkey AS raw
+FROM customer
+""")
+def pn_parse(spark, d):
+    raw = F.concat(F.replace(F.col("c_name"), F.lit("#"), F.lit("^")), F.lit("^^Dr^PhD=Ideo"), F.col("c_custkey").cast("string"))
+    name = pn.parse_person_name(raw)
+    fields = ("family_name", "given_name", "middle_name", "name_prefix", "name_suffix", "ideographic")
+    return table(spark, d, "customer").select("c_custkey", *[name[f].alias(f) for f in fields], raw.alias("raw"))
+
+
+@query("SELECT c_custkey, replace(c_name, '#', '^') AS formatted FROM customer")
+def pn_format(spark, d):
+    raw = F.concat(F.replace(F.col("c_name"), F.lit("#"), F.lit("^")), F.lit("^^^=="))
+    return table(spark, d, "customer").select("c_custkey", pn.format_person_name(pn.parse_person_name(raw)).alias("formatted"))
+
+
+@query("SELECT c_custkey, 'Dr ' || split_part(c_name, '#', 2) || ' ' || split_part(c_name, '#', 1) || ', PhD' AS display FROM customer")
+def pn_display(spark, d):
+    raw = F.concat(F.replace(F.col("c_name"), F.lit("#"), F.lit("^")), F.lit("^^Dr^PhD"))
+    return table(spark, d, "customer").select("c_custkey", pn.display_name(pn.parse_person_name(raw)).alias("display"))
+
+
+# --- transfer syntaxes and pixel metadata ---------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {INSTANCES}, known(uid, name, le, ex, en) AS (VALUES {SYNTAX_VALUES})
+SELECT l_orderkey, l_linenumber, cents, coalesce(name, 'Unknown Transfer Syntax ' || TransferSyntaxUID) AS syntax_name,
+       coalesce(le, true) AS little_endian, coalesce(ex, true) AS explicit_vr, coalesce(en, true) AS encapsulated
+FROM instances LEFT JOIN known ON uid = TransferSyntaxUID
+""")
+def transfer_syntax_classify(spark, d):
+    rows = instances(spark, d).select("l_orderkey", "l_linenumber", "cents", "TransferSyntaxUID")
+    return transfer.classify(rows, "TransferSyntaxUID").drop("TransferSyntaxUID")
+
+
+NATIVE_SQL = "TransferSyntaxUID IN ('1.2.840.10008.1.2', '1.2.840.10008.1.2.1', '1.2.840.10008.1.2.1.99', '1.2.840.10008.1.2.2')"
+
+
+@query(f"WITH {INSTANCES} SELECT l_orderkey, l_linenumber, cents, CASE WHEN {NATIVE_SQL} THEN 'native-uncompressed' END AS codec_name FROM instances")
+def codec_find(spark, d):
+    return transfer.find_codec(instances(spark, d).select("l_orderkey", "l_linenumber", "cents", "TransferSyntaxUID"), "TransferSyntaxUID").drop("TransferSyntaxUID")
+
+
+@query(f"WITH {INSTANCES} SELECT TransferSyntaxUID, count(*) AS n FROM instances WHERE NOT {NATIVE_SQL} GROUP BY 1")
+def codec_unsupported(spark, d):
+    return transfer.supported(instances(spark, d).select("TransferSyntaxUID"), "TransferSyntaxUID", yes=False).groupBy("TransferSyntaxUID").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH {INSTANCES}
+SELECT l_orderkey, l_linenumber, cents, CASE
+  WHEN Rows <= 0 THEN 'Rows must be positive, got ' || Rows || '.'
+  WHEN Columns <= 0 THEN 'Columns must be positive, got ' || Columns || '.'
+  WHEN BitsAllocated NOT IN (1, 8, 16, 32, 64) THEN 'BitsAllocated must be one of [1, 8, 16, 32, 64], got ' || BitsAllocated || '.'
+  WHEN HighBit <> BitsStored - 1 THEN 'HighBit (' || HighBit || ') must equal BitsStored - 1 (' || (BitsStored - 1) || ').'
+  WHEN PixelRepresentation = 1 AND BitsStored < 2 THEN 'BitsStored must be at least 2 for signed pixel data (PixelRepresentation=1), got ' || BitsStored || '.'
+END AS error FROM instances
+""")
+def pixel_meta_validate(spark, d):
+    return instances(spark, d).select("l_orderkey", "l_linenumber", "cents", px.metadata_error(pixel_fields()).alias("error"))
+
+
+@query(f"""
+WITH {INSTANCES}
+SELECT l_orderkey, l_linenumber, cents, CAST(Rows AS BIGINT) * Columns AS frame_pixels, CAST(BitsAllocated // 8 AS BIGINT) AS bytes_per_sample,
+       CAST(Rows AS BIGINT) * Columns * (BitsAllocated // 8) * NumberOfFrames AS pixel_bytes
+FROM instances
+""")
+def pixel_expected_bytes(spark, d):
+    s = px.frame_sizes(pixel_fields())
+    return instances(spark, d).select("l_orderkey", "l_linenumber", "cents", s["frame_pixels"].alias("frame_pixels"), s["bytes_per_sample"].alias("bytes_per_sample"), s["pixel_bytes"].alias("pixel_bytes"))
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 9 AS expected, l_suppkey % 9 AS got FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE
+  WHEN got <> expected AND NOT (expected % 2 = 1 AND got = expected + 1) THEN 'PixelData length mismatch: expected ' || expected || ' bytes from frame metadata, got ' || got || '.'
+  WHEN expected % 2 = 1 AND got = expected + 1 AND l_linenumber % 2 = 1 THEN 'PixelData odd-length padding byte must be zero.'
+END AS error FROM x
+""")
+def pixel_length_check(spark, d):
+    error = px.length_error(F.col("l_suppkey") % 9, F.col("l_partkey") % 9, F.col("l_linenumber") % 2 == 0)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", error.alias("error"))
+
+
+PHOTOMETRIC = [" monochrome1", "MONOCHROME2", "rgb", "YBR_FULL", "PALETTE COLOR", "HSV"]
+
+
+@query(
+    f"SELECT p_partkey, {_pick_sql(['MONOCHROME1', 'MONOCHROME2', 'RGB', 'YBR_FULL', 'PALETTE COLOR', 'HSV'], 'p_partkey')} AS photometric, "
+    "[1, 1, 3, 3, 1, NULL][p_partkey % 6 + 1] AS samples, p_partkey % 6 < 2 AS monochrome, p_partkey % 6 = 0 AS inverted FROM part"
+)
+def photometric_samples(spark, d):
+    raw = _pick(PHOTOMETRIC, "p_partkey")
+    return table(spark, d, "part").select("p_partkey", px.photometric(raw).alias("photometric"), px.expected_samples(raw).alias("samples"), px.is_monochrome(raw).alias("monochrome"), px.needs_inversion(raw).alias("inverted"))
+
+
+@query(f"""
+WITH {INSTANCES}
+SELECT l_orderkey, l_linenumber, cents, CASE
+  WHEN Rows <= 0 OR Columns <= 0 OR BitsAllocated NOT IN (1, 8, 16, 32, 64) OR HighBit <> BitsStored - 1 OR (PixelRepresentation = 1 AND BitsStored < 2) THEN 'metadata'
+  WHEN NOT {NATIVE_SQL} THEN 'codec'
+  WHEN CAST(Rows AS BIGINT) * Columns * (BitsAllocated // 8) * NumberOfFrames <> 4 THEN 'length'
+  ELSE 'ok' END AS capability
+FROM instances
+""")
+def pixel_capability(spark, d):
+    rows = instances(spark, d)
+    ds = F.map_filter(model.dataset({TAG_OF[k]: F.col(k) for k in PIXEL_KEYS}), lambda k, v: v.isNotNull())
+    error = transfer.capability_error(ds, F.col("TransferSyntaxUID"), F.lit(b"\0\0\0\0"))
+    kind = F.when(error.isNull(), "ok").when(error.startswith("No codec"), "codec").when(error.startswith("PixelData length"), "length").otherwise("metadata")
+    return rows.select("l_orderkey", "l_linenumber", "cents", kind.alias("capability"))
+
+
+# --- pixel arithmetic -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (l_tax + 1.0) + -1024.0 AS rescaled FROM lineitem")
+def rescale(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", px.rescale(F.col("l_extendedprice"), F.col("l_tax") + 1.0, F.lit(-1024.0)).alias("rescaled"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 2.0 + 1.0)) > 0 AS positive, len(embedding)::INTEGER AS n, CAST(embedding[1] AS DOUBLE) * 2.0 + 1.0 AS first FROM embeddings")
+def rescale_array(spark, d):
+    out = px.rescale_array(F.col("embedding").cast("array<double>"), F.lit(2.0), F.lit(1.0))
+    rows = table(spark, d, "embeddings").select("vec_id", out.alias("x"))
+    return rows.select("vec_id", (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) > 0).alias("positive"), F.size("x").alias("n"), F.element_at("x", 1).alias("first"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_discount - 0.5 - (l_quantity - 1) / 2 AS lower, l_discount - 0.5 + (l_quantity - 1) / 2 AS upper FROM lineitem")
+def voi_bounds(spark, d):
+    b = px.voi_bounds(F.col("l_discount"), F.col("l_quantity"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", b["lower"].alias("lower"), b["upper"].alias("upper"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice <= 100000.0 - 0.5 - (150000.0 - 1) / 2 THEN 0.0 WHEN o_totalprice > 100000.0 - 0.5 + (150000.0 - 1) / 2 THEN 255.0
+  ELSE ((o_totalprice - (CAST(100000.0 AS DOUBLE) - 0.5)) / (CAST(150000.0 AS DOUBLE) - 1) + 0.5) * 255.0 + 0.0 END AS shown
+FROM orders
+""")
+def voi_window(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", px.voi_window(F.col("o_totalprice"), F.lit(100000.0), F.lit(150000.0)).alias("shown"))
+
+
+@query("SELECT o_orderkey, [10, 20, 30, 40][greatest(0, least(3, CAST(trunc(o_totalprice / 50000.0) AS BIGINT) - 1)) + 1] AS shown FROM orders")
+def voi_lut(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", px.voi_lut(F.col("o_totalprice") / 50000.0, F.lit(1), F.array(*map(F.lit, (10, 20, 30, 40)))).alias("shown"))
+
+
+def _embedding_frames(spark, d) -> DataFrame:
+    """8 x 8 frames of unsigned bytes."""
+    byte = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1.0) * 127.0).cast("int"))
+    hexed = F.array_join(F.transform(byte, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    rows = table(spark, d, "embeddings").select("vec_id", F.unhex(hexed).alias("pixel_data"))
+    fixed = {"rows": 8, "columns": 8, "samples": 1, "bits_allocated": 8, "pixel_representation": 0, "frames": 1, "planar": 0}
+    return rows.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("syntax", F.lit("1.2.840.10008.1.2.1"))
+
+
+@query("SELECT vec_id, 0 AS frame, 64 AS n, floor((CAST(embedding[1] AS DOUBLE) + 1.0) * 127.0)::DOUBLE AS first, list_sum(list_transform(embedding, lambda v: floor((CAST(v AS DOUBLE) + 1.0) * 127.0)))::DOUBLE AS total FROM embeddings")
+def frame_decode(spark, d):
+    out = frames.decode(_embedding_frames(spark, d), "vec_id")
+    return out.select("vec_id", "frame", F.size("pixels").alias("n"), F.element_at("pixels", 1).alias("first"), F.aggregate("pixels", F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query("SELECT vec_id, i.i::INTEGER AS frame, floor((CAST(embedding[16 * i.i + 1] AS DOUBLE) + 1.0) * 127.0)::DOUBLE AS first, floor((CAST(embedding[16 * i.i + 5] AS DOUBLE) + 1.0) * 127.0)::DOUBLE AS second FROM embeddings, (SELECT unnest(range(4)) AS i) i")
+def frame_planar(spark, d):
+    """Four frames of 2 x 2 pixels and four planes: the second sample of a pixel lies one plane further on."""
+    rows = _embedding_frames(spark, d).withColumns({"rows": F.lit(2), "columns": F.lit(2), "samples": F.lit(4), "frames": F.lit(4), "planar": F.lit(1)})
+    return frames.decode(rows, "vec_id").select("vec_id", "frame", F.element_at("pixels", 1).alias("first"), F.element_at("pixels", 2).alias("second"))
+
+
+YBR = "CAST(l_partkey % 256 AS DOUBLE)", "CAST(l_suppkey % 256 AS DOUBLE)", "CAST(l_orderkey % 256 AS DOUBLE)"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey,
+       CAST(floor(least(greatest({YBR[0]} * CAST(1.0 AS DOUBLE) + CAST(1.402 AS DOUBLE) * (({YBR[2]} - 128.0) * CAST(1.0 AS DOUBLE)), 0.0), 255.0)) AS INTEGER) AS r,
+       CAST(floor(least(greatest({YBR[0]} - CAST(0.344136 AS DOUBLE) * ({YBR[1]} - 128.0) - CAST(0.714136 AS DOUBLE) * ({YBR[2]} - 128.0), 0.0), 255.0)) AS INTEGER) AS g,
+       CAST(floor(least(greatest({YBR[0]} + CAST(1.772 AS DOUBLE) * ({YBR[1]} - 128.0), 0.0), 255.0)) AS INTEGER) AS b
+FROM lineitem
+""")
+def ybr_to_rgb(spark, d):
+    y, cb, cr = ((F.col(c) % 256).cast("double") for c in ("l_partkey", "l_suppkey", "l_orderkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", px.ybr_to_rgb(y, cb, cr).alias("rgb")).select("l_orderkey", "l_linenumber", "l_partkey", "rgb.*")
+
+
+@query("SELECT vec_id, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, 255.0::DOUBLE AS stretched FROM embeddings")
+def frame_window_stats(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    return table(spark, d, "embeddings").select("vec_id", F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.array_max(px.stretch(x)).alias("stretched"))
+
+
+@query("SELECT vec_id, true AS same FROM embeddings")
+def frame_preview(spark, d):
+    """PNG previews, read back."""
+    shown = frames.previews(frames.decode(_embedding_frames(spark, d), "vec_id").withColumn("photometric", F.lit("MONOCHROME2")), "vec_id", "photometric", window=False)
+    return shown.select("vec_id", F.startswith("preview", F.lit(b"\x89PNG\r\n\x1a\n")).alias("same"))
+
+
+# --- de-identification and validation -------------------------------------------------------------------------------
+
+_value = lambda ds, k: F.try_element_at(ds, F.lit(TAG_OF[k])).alias(k)
+
+
+@query(f"""
+WITH {STUDIES}
+SELECT o_orderkey, 'Anonymous' AS PatientName, 'ANON' AS PatientID, '' AS StudyDate, Modality, {_remap_sql('StudyInstanceUID')} AS StudyInstanceUID,
+       CASE WHEN accession_state <> 'absent' THEN '' END AS AccessionNumber, 'YES' AS PatientIdentityRemoved, 'REMOVED' AS LongitudinalTemporalInformationModified
+FROM studies
+""")
+def deid_starter(spark, d):
+    rows = studies(spark, d).select("o_orderkey", deid.deidentify(study_dataset(), deid.starter_plan()).alias("ds"))
+    names = ("PatientName", "PatientID", "StudyDate", "Modality", "StudyInstanceUID", "AccessionNumber", "PatientIdentityRemoved", "LongitudinalTemporalInformationModified")
+    return rows.select("o_orderkey", *[_value("ds", k) for k in names])
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, CAST(9 + CASE WHEN accession_state = 'absent' THEN 0 ELSE 1 END AS INTEGER) AS n, true AS marked FROM studies")
+def deid_markers(spark, d):
+    ds = deid.deidentify(study_dataset(), deid.starter_plan())
+    return studies(spark, d).select("o_orderkey", F.size(ds).alias("n"), F.map_contains_key(ds, TAG_OF["DeidentificationMethod"]).alias("marked"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, 'last' AS PatientID, {_shift_sql('StudyDate', '-30')} AS StudyDate FROM studies")
+def deid_custom_last_rule(spark, d):
+    plan = deid.Plan([(TAG_OF["PatientID"], "DELETE", None), (TAG_OF["StudyDate"], "SHIFT_DATE", -30), (TAG_OF["PatientID"], "REPLACE", "last")])
+    ds = deid.deidentify(study_dataset(), plan)
+    return studies(spark, d).select("o_orderkey", _value(ds, "PatientID"), _value(ds, "StudyDate"))
+
+
+@query(f"""
+WITH {STUDIES}
+SELECT accession_state, action, count(*) AS events, CAST(sum(CAST(present AS INTEGER)) AS BIGINT) AS present FROM (
+  SELECT accession_state, 'EMPTY' AS action, k.k IN (1, 2) AND (k.k = 1 OR accession_state <> 'absent') AS present FROM studies, (SELECT unnest(range(1, 22)) AS k) k
+  UNION ALL SELECT accession_state, 'REPLACE', k.k <= 2 FROM studies, (SELECT unnest(range(1, 6)) AS k) k
+  UNION ALL SELECT accession_state, 'DELETE', false FROM studies, (SELECT unnest(range(1, 17)) AS k) k
+  UNION ALL SELECT accession_state, 'REMAP_UID', k.k = 1 FROM studies, (SELECT unnest(range(1, 7)) AS k) k
+) GROUP BY 1, 2
+""")
+def deid_audit(spark, d):
+    rows = studies(spark, d).select("accession_state", study_dataset().alias("ds"))
+    return deid.audit(rows, "accession_state", "ds", deid.starter_plan()).groupBy("accession_state", "action").agg(F.count("*").alias("events"), F.count_if("present").alias("present"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, 'Anonymous' AS outer_name, 'Anonymous' AS inner_name, {_remap_sql('StudyInstanceUID')} AS inner_uid, false AS has_private FROM studies")
+def deid_nested(spark, d):
+    rows = _nested_json(spark, d).withColumn("out", deid.deidentify_nested(F.col("dataset"), deid.starter_plan()))
+    at = lambda path: F.get_json_object("out", path)
+    item = "$.00081115.Value[0]"
+    return rows.select("o_orderkey", at("$.00100010.Value[0].Alphabetic").alias("outer_name"), at(f"{item}.00100010.Value[0].Alphabetic").alias("inner_name"), at(f"{item}.00080018.Value[0]").alias("inner_uid"), at(f"{item}.00111001").isNotNull().alias("has_private"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'private' END AS kept FROM orders")
+def deid_private_keep(spark, d):
+    ds = deid.deidentify(study_dataset(), deid.starter_plan(remove_private=False))
+    return studies(spark, d).select("o_orderkey", F.try_element_at(ds, F.lit("00111001")).alias("kept"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, 48 AS events, CAST(7 + CASE WHEN accession_state = 'absent' THEN 0 ELSE 1 END AS INTEGER) AS changed, CAST(o_orderkey % 2 AS INTEGER) AS private_removed FROM studies")
+def deid_report(spark, d):
+    return deid.audit_counts(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds", deid.starter_plan())
+
+
+@query("""
+SELECT o_orderkey, 0 AS seq, 'Missing required tag SOPInstanceUID (0008,0018).' AS message FROM orders
+UNION ALL SELECT o_orderkey, 1, 'TransferSyntaxUID (0002,0010) is absent. File meta information may be missing or incomplete.' FROM orders
+""")
+def validate_dataset(spark, d):
+    return validate.validate(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds")
+
+
+PRESENT = ("SOPClassUID", "StudyInstanceUID", "Modality", "PatientName", "PatientID", "StudyDate")
+IOD_VALUES = ", ".join(f"('{uid}', {kind}, {seq}, '{k}')" for uid, (_, one, two) in IOD_PROFILES.items() for kind, keys in ((1, one), (2, two)) for seq, k in enumerate(keys))
+MISSING_SQL = f"""
+WITH {STUDIES}, need(uid, type, seq, keyword) AS (VALUES {IOD_VALUES})
+SELECT o_orderkey, Modality, type, seq, CASE type WHEN 1 THEN 'error' ELSE 'warning' END AS severity
+FROM studies JOIN need ON uid = SOPClassUID
+WHERE keyword NOT IN {PRESENT} AND NOT (keyword = 'AccessionNumber' AND accession_state <> 'absent')
+"""
+
+
+@query(f"SELECT o_orderkey, type, seq, severity FROM ({MISSING_SQL})")
+def validate_iod_missing(spark, d):
+    return validate.validate_sop_class(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds").select("o_orderkey", "type", "seq", "severity")
+
+
+@query(f"SELECT severity, count(*) AS findings, count(DISTINCT o_orderkey) AS studies FROM ({MISSING_SQL}) GROUP BY 1")
+def validate_iod_summary(spark, d):
+    found = validate.validate_sop_class(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds")
+    return found.groupBy("severity").agg(F.count("*").alias("findings"), F.count_distinct("o_orderkey").alias("studies"))
+
+
+# --- JSON, queries, multipart ---------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {STUDIES}
+SELECT o_orderkey, '{{"00080016":{{"vr":"UI","Value":["' || SOPClassUID || '"]}},"00080020":{{"vr":"DA","Value":["' || StudyDate || '"]}},'
+  || CASE accession_state WHEN 'absent' THEN '' WHEN 'empty' THEN '"00080050":{{"vr":"SH","Value":[""]}},' ELSE '"00080050":{{"vr":"SH","Value":["ACC' || o_orderkey || '"]}},' END
+  || '"00080060":{{"vr":"CS","Value":["' || Modality || '"]}},"00100010":{{"vr":"PN","Value":[{{"Alphabetic":"' || PatientName || '"}}]}},"00100020":{{"vr":"LO","Value":["' || PatientID || '"]}},'
+  || CASE WHEN o_orderkey % 2 = 1 THEN '"00111001":{{"vr":"UN","Value":["private"]}},' ELSE '' END
+  || '"0020000D":{{"vr":"UI","Value":["' || StudyInstanceUID || '"]}}}}' AS dataset
+FROM studies
+""")
+def djson_encode(spark, d):
+    return studies(spark, d).select("o_orderkey", djson.encode(study_dataset()).alias("dataset"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, PatientName, StudyInstanceUID, CASE accession_state WHEN 'empty' THEN '' WHEN 'filled' THEN 'ACC' || o_orderkey END AS AccessionNumber FROM studies")
+def djson_decode(spark, d):
+    ds = djson.decode(djson.encode(study_dataset()))
+    return studies(spark, d).select("o_orderkey", *[_value(ds, k) for k in ("PatientName", "StudyInstanceUID", "AccessionNumber")])
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, PatientID FROM studies")
+def message_roundtrip(spark, d):
+    ds = djson.from_message(djson.message(study_dataset()))
+    return studies(spark, d).select("o_orderkey", _value(ds, "PatientID"))
+
+
+@query(f"WITH {STUDIES} SELECT StudyInstanceUID, PatientID FROM studies WHERE Modality = 'CT' AND StudyDate BETWEEN '19950101' AND '19961231' AND PatientID LIKE 'MRN-1%' ORDER BY StudyInstanceUID LIMIT 25 OFFSET 5")
+def qido_filter_limit(spark, d):
+    q = qido.Query().modality("CT").study_date("19950101-19961231").patient_id("MRN-1*").include_field("StudyInstanceUID").include_field("PatientID").limit(25).offset(5)
+    return q.apply(studies(spark, d), ["StudyInstanceUID"])
+
+
+@query("SELECT c_custkey, 'PatientName=' || replace(replace(replace(c_name, '%', '%25'), '#', '%23'), ' ', '+') || '%2A~' AS params FROM customer")
+def qido_querystring(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("PatientName="), text.quote_plus(F.concat(F.col("c_name"), F.lit("*~")))).alias("params"))
+
+
+@query("SELECT doc_id, 0 AS pos, strlen(text)::BIGINT AS n, md5(text) AS digest FROM documents UNION ALL SELECT doc_id, 1, 3, md5('two') FROM documents")
+def multipart_roundtrip(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.array(F.col("text").cast("binary"), F.lit(b"two")).alias("bodies"))
+    parts = multipart.parse_column(multipart.build_column(docs, "doc_id", "bodies"), "doc_id", "body", "content_type")
+    return parts.select("doc_id", "pos", F.octet_length("body").cast("long").alias("n"), F.md5("body").alias("digest"))
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, PatientName AS patient_name, CASE accession_state WHEN 'filled' THEN 'ACC' || o_orderkey ELSE '' END AS accession_number, '' AS manufacturer, CAST(NULL AS INTEGER) AS series_number, 1 AS number_of_frames, '1.2.840.10008.1.2.1' AS transfer_syntax FROM studies")
+def named_attributes(spark, d):
+    ds = study_dataset()
+    named = lambda k: F.coalesce(F.try_element_at(ds, F.lit(TAG_OF[k])), F.lit(""))
+    number = lambda k: F.try_element_at(ds, F.lit(TAG_OF[k])).try_cast("int")
+    return studies(spark, d).select(
+        "o_orderkey",
+        named("PatientName").alias("patient_name"),
+        named("AccessionNumber").alias("accession_number"),
+        named("Manufacturer").alias("manufacturer"),
+        number("SeriesNumber").alias("series_number"),
+        F.coalesce(number("NumberOfFrames"), F.lit(1)).alias("number_of_frames"),
+        F.coalesce(F.nullif(named("TransferSyntaxUID"), F.lit("")), F.lit("1.2.840.10008.1.2.1")).alias("transfer_syntax"),
+    )
+
+
+# --- services, streams, files ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STUDIES} SELECT o_orderkey, StudyInstanceUID FROM studies WHERE Modality = 'MR' AND StudyDate >= '19970101'")
+def cfind_match(spark, d):
+    return service.c_find(studies(spark, d), {"Modality": "MR", "StudyDate": "19970101-", "PatientID": ""}).select("o_orderkey", "StudyInstanceUID")
+
+
+@query(f"WITH {INSTANCES} SELECT SOPInstanceUID FROM instances WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def cmove_select(spark, d):
+    wanted = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return service.c_move(instances(spark, d), wanted, "l_orderkey").select("SOPInstanceUID")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def cstore_stream_count(spark, d):
+    """Events drained as a stream of stored objects into Parquet, then counted."""
+    run = _new_folder(spark, "store")
+    schema = table(spark, d, "events").schema
+    stream = store.incoming(spark, d, schema, name="events.parquet")
+    store.store(stream, f"{run}/out", f"{run}/state", now=True).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{run}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+SUPPORTED = ["1.2.840.10008.5.1.4.1.1.2", "1.2.840.10008.5.1.4.1.1.4"]
+
+
+@query(f"""
+WITH {STUDIES}
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'called AE title not recognized' WHEN Modality NOT IN ('CT', 'MR') THEN 'no common SOP class' END AS error,
+       CASE WHEN o_orderkey % 3 <> 0 AND Modality IN ('CT', 'MR') THEN SOPClassUID END AS accepted
+FROM studies
+""")
+def sop_negotiation(spark, d):
+    called = F.when(F.col("o_orderkey") % 3 == 0, "OTHER").when(F.col("o_orderkey") % 3 == 1, "ANY-SCP").otherwise("STORE")
+    out = service.negotiate(called, "STORE", F.array("SOPClassUID", F.lit("1.2.3")), SUPPORTED)
+    return studies(spark, d).select("o_orderkey", out["error"].alias("error"), F.array_join(out["accepted"], "|").alias("accepted"))
+
+
+@query("SELECT CAST(i AS BIGINT) AS attempt, least(1.0 * pow(2.0, i), 60.0)::DOUBLE AS delay FROM range(10) t(i)")
+def retry_backoff(spark, d):
+    return spark.range(10).select(F.col("id").alias("attempt"), dicomweb.backoff_column(F.col("id")).alias("delay"))
+
+
+@query("SELECT event_id, n FROM (SELECT event_id, 4 + (event_id % 100)::BIGINT AS n FROM events)")
+def message_frames(spark, d):
+    """The length that a frame of a message states, and what stands after it."""
+    n = (F.col("event_id") % 100).cast("int")
+    data = F.concat(F.unhex(F.lpad(F.hex(n), 8, "0")), F.repeat(F.lit("x"), n).cast("binary"))
+    return table(spark, d, "events").select("event_id", (service.frame_length(data) + 4).alias("n"))
+
+
+def _file_rows(spark, d) -> DataFrame:
+    head = table(spark, d, "nation").select("n_nationkey", "n_name")
+    body = F.concat(
+        F.lit('{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.2"]},"00080018":{"vr":"UI","Value":["1.2.3.'), F.col("n_nationkey").cast("string"),
+        F.lit('"]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"'), F.col("n_name"), F.lit('"}]},"00280010":{"vr":"US","Value":[2]},"00081115":{"vr":"SQ","Value":[{"00080018":{"vr":"UI","Value":["9.9"]}}]}}'),
+    )
+    return head.select(F.lit(None).cast("string").alias("path"), body.alias("dataset"), F.lit(b"\x01\x00\x02\x00").alias("pixel_data"), F.lit(None).cast("string").alias("error"))
+
+
+def _written_files(spark, d) -> str:
+    dicom_file.register(spark)
+    path = _new_folder(spark, "files")
+    _file_rows(spark, d).write.format("dicom").mode("append").save(path)
+    return path
+
+
+FILE_SQL = "SELECT '1.2.3.' || n_nationkey AS uid, n_name AS name, '2' AS rows, '9.9' AS nested, {} AS pixels FROM nation"
+
+
+def _read_files(spark, path: str, stop: bool) -> DataFrame:
+    rows = spark.read.format("dicom").option("stopBeforePixels", str(stop).lower()).load(path)
+    at = lambda p: F.get_json_object("dataset", p)
+    return rows.select(at("$.00080018.Value[0]").alias("uid"), at("$.00100010.Value[0].Alphabetic").alias("name"), at("$.00280010.Value[0]").alias("rows"), at("$.00081115.Value[0].00080018.Value[0]").alias("nested"), F.hex("pixel_data").alias("pixels"))
+
+
+@query(FILE_SQL.format("'01000200'"))
+def file_roundtrip(spark, d):
+    return _read_files(spark, _written_files(spark, d), False)
+
+
+@query(FILE_SQL.format("CAST(NULL AS VARCHAR)"))
+def file_metadata_only(spark, d):
+    return _read_files(spark, _written_files(spark, d), True)
+
+
+@query(f"""
+WITH {INSTANCES}
+SELECT TransferSyntaxUID, count(*) AS files, CAST(count(*) FILTER (WHERE NOT (Rows > 0 AND Columns > 0 AND BitsAllocated IN (1, 8, 16, 32, 64) AND HighBit = BitsStored - 1 AND NOT (PixelRepresentation = 1 AND BitsStored < 2))) AS BIGINT) AS failed
+FROM instances GROUP BY 1
+""")
+def batch_errors(spark, d):
+    """A batch job whose failures are rows, not exceptions."""
+    rows = instances(spark, d).withColumn("error", px.metadata_error(pixel_fields()))
+    return rows.groupBy("TransferSyntaxUID").agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+@query(f"""
+WITH {STUDIES}, {INSTANCES}
+SELECT Modality, count(DISTINCT PatientID) AS patients, count(DISTINCT StudyInstanceUID) AS studies, count(DISTINCT SeriesInstanceUID) AS series, count(*) AS instances
+FROM studies JOIN instances ON l_orderkey = o_orderkey GROUP BY Modality
+""")
+def hierarchy_rollup(spark, d):
+    """Patients, studies, series and instances by modality (additive: not among the reference's operators)."""
+    joined = studies(spark, d).join(instances(spark, d).select("l_orderkey", "SeriesInstanceUID"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("Modality").agg(F.count_distinct("PatientID").alias("patients"), F.count_distinct("StudyInstanceUID").alias("studies"), F.count_distinct("SeriesInstanceUID").alias("series"), F.count("*").alias("instances"))

@@ -9,9 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def incoming(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8, format: str = "parquet") -> DataFrame:
-    """A stream of a landing folder; ``files_per_trigger`` bounds how much a batch takes, as a bounded queue would."""
-    return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def incoming(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8, format: str = "parquet", name: str | None = None) -> DataFrame:
+    """A stream of a landing folder; ``files_per_trigger`` bounds how much a batch takes, as a bounded queue would.
+    ``name``, a glob, restricts it to files of that name."""
+    reader = spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.option("pathGlobFilter", name) if name else reader).load(path)
 
 
 def store(stream: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None, now: bool = False) -> StreamingQuery:
