@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from voxelake.dims import CHARSETS, PREFERRED_CHARSET
 from voxelake.functions.tags import lookup
@@ -51,12 +51,12 @@ def _first(codecs, convert):
     return None
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _encode(text: pd.Series, codecs: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _first(c, t.encode) for t, c in zip(text, codecs, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(data: pd.Series, codecs: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else _first(c, bytes(b).decode) for b, c in zip(data, codecs, strict=True)], dtype=object)
 
