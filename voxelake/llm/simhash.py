@@ -6,8 +6,8 @@ shingles set it. One pass over the texts writes (id, fingerprint); everything af
 Links. Cut in `BLOCKS` blocks, two fingerprints with at most 3 differing bits agree on at least three blocks, so each
 choice of three blocks of six is a table, and pairs meet in the bucket of their common 32 bits or so. A bucket of
 over `HOT` fingerprints, which a large group of near copies makes, is split again in the same way over the bits it
-does not share (16 bits or so are left), and once more if need be (9 bits, so 512 fingerprints at most): every bucket that
-is worked on is bounded, no close pair is lost, and no bucket is cut off. Within a bucket, distances are verified
+does not share (16 bits or so are left), and once more if need be (9 bits, so 512 fingerprints at most). Every bucket
+that is worked on is bounded, no close pair is lost, and no bucket is cut off. Within a bucket, distances are verified
 and only the edges of a spanning star of each of its components leave the task, never all pairs.
 
 Components. Alternating large-star and small-star rounds on the edges, each written to the shared folder, until
@@ -28,7 +28,7 @@ BLOCKS = 6
 #: Fingerprints of a bucket above which it is split again.
 HOT = 1024
 SEED = 42
-#: Characters hashed at a time; bounds memory, not the text.
+#: Shingles hashed at a time; bounds memory, not the text.
 CHUNK_SHINGLES = 1 << 16
 # fixed value: what separates words
 SEPARATORS = " \t\n\x0b\x0c\r"

@@ -99,12 +99,17 @@ class _Plain:
         self.buffer += piece
         return bool(piece)
 
+    def unfinished(self) -> bool:
+        return bool(self.buffer.strip())
+
     def header(self) -> bytes | None:
         """Up to the next empty line; None at the end."""
         seen = 0
         while (cut := self.buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(self.buffer)
             if not self.more():
+                if self.unfinished():
+                    raise EOFError("a record is cut short")
                 return None
         head, self.buffer = self.buffer[:cut], self.buffer[cut + 4 :]
         return head
@@ -138,6 +143,9 @@ class _Gzip(_Plain):
         super().__init__(file, start, end)
         self.raw, self.member, self.next = b"", None, None
 
+    def unfinished(self) -> bool:
+        return self.member is not None or super().unfinished()
+
     def _raw(self, n: int) -> bytes:
         while len(self.raw) < n:
             piece = self.file.read(min(1 << 16, self.end - self.at))
