@@ -186,3 +186,75 @@ def test_client():
     with pytest.raises(ValueError):
         client.retrieve("1/2")
     assert dicomweb.backoff_delay(9) == 60
+
+
+def test_search_source(spark):
+    dicomweb.register(spark)
+    item = '{"00100020":{"vr":"LO","Value":["%s"]},"00080060":{"vr":"CS","Value":["CT"]}}'
+    page = lambda n: f"http://x/studies?Modality=CT&limit=2&offset={n}"
+    answers = {page(0): f"[{item % 1},{item % 2}]", page(2): f"[{item % 3}]"}
+    options = {"url": "http://x", "pages": "2", "pageSize": "2", "responses": json.dumps(answers)}
+    df = spark.read.format("dicomweb").options(**options).load()
+    assert sorted(r.PatientID for r in df.filter("Modality = 'CT'").collect()) == ["1", "2", "3"]
+    with pytest.raises(Exception, match="404"):
+        spark.read.format("dicomweb").options(**options).load().collect()
+
+
+def test_batch(spark, tmp_path):
+    from voxelake.operators import batch
+
+    dataset = {TAG_OF["SOPClassUID"]: {"vr": "UI", "Value": ["1.2"]}, UID: {"vr": "UI", "Value": ["1.2.3"]}, NAME: {"vr": "PN", "Value": [{"Alphabetic": "Ada"}]}}
+    for folder in "ab":
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "same.dcm").write_bytes(dicom_file.encode(dataset, b"\1\2"))
+    (tmp_path / "in" / "bad.dcm").write_bytes(b"x")
+    rows = batch.anonymize_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert sorted((r.name, r.ok, r.shared_name) for r in rows) == [("bad.dcm", False, False), ("same.dcm", True, True), ("same.dcm", True, True)]
+    back = [dicom_file.parse(p.read_bytes()) for p in (tmp_path / "out").iterdir()]
+    assert len(back) == 2 and all(d[NAME]["Value"][0]["Alphabetic"] == "Anonymous" and p == b"\1\2" for d, p in back)
+    named = maps(spark, {NAME: "A", TAG_OF["Rows"]: " 7", TAG_OF["Columns"]: "x"}).select(*batch.named_attributes(F.col("ds"))).first()
+    assert (named.PatientName, named.Rows, named.Columns, named.NumberOfFrames, named.Modality) == ("A", 7, None, 1, "")
+
+
+def test_associations():
+    import asyncio
+
+    from voxelake.sources import association as a
+
+    async def talk():
+        stored = []
+
+        async def store(dataset):
+            await asyncio.sleep(0)
+            if dataset.get("fail"):
+                raise ValueError("cannot store")
+            stored.append(dataset)
+
+        async def find(query):
+            return [query]
+
+        async with await a.Server("STORE", ["1.2", "1.3"], find=find, store=store, queue_size=2).start() as server:
+            for called, classes in (("OTHER", ["1.2"]), ("STORE", ["9"])):
+                with pytest.raises(a.AssociationRejected):
+                    await a.Association.connect("127.0.0.1", server.bound_port, "ME", called, classes)
+            async with await a.Association.connect("127.0.0.1", server.bound_port, "ME", "ANY-SCP", ["1.3", "9"]) as peer:
+                assert peer.accepted == ["1.3"] and await peer.c_echo() == 0
+                assert await peer.c_find({PATIENT: "1"}) == [{PATIENT: "1"}] and await peer.c_move({}, "X") == 0
+                assert await asyncio.gather(*(peer.c_store({"n": i, "data": bytes([i])}) for i in range(20))) == [0] * 20
+                with pytest.raises(RuntimeError, match="cannot store"):
+                    await peer.c_store({"fail": True})
+            with pytest.raises(a.AssociationClosed):
+                await peer.c_echo()
+        assert [d["n"] for d in stored] == list(range(20)) and stored[3]["data"] == b"\3"
+
+    asyncio.run(talk())
+
+
+def test_stream(spark, tmp_path):
+    from voxelake.streaming import store
+
+    df = spark.range(100).withColumn("uid", (F.col("id") % 40).cast("string"))
+    df.repartition(5).write.parquet(f"{tmp_path}/in")
+    stream = store.incoming(spark, f"{tmp_path}/in", df.schema, files_per_trigger=2)
+    store.store(stream, f"{tmp_path}/out", f"{tmp_path}/state", transform=lambda b: b.filter("id >= 10"), now=True).awaitTermination()
+    assert spark.read.schema(df.schema).parquet(f"{tmp_path}/out").count() == 90

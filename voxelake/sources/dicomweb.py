@@ -2,7 +2,8 @@
 
 Transports are composable: HTTP at the bottom, bearer tokens and status-code retries around it. What a transport can
 do is explicit (``streams``), so a client never takes a streaming path that the innermost transport lacks. Searches
-become partitions of pages; filters on query attributes are pushed into the request.
+become partitions of pages; filters on query attributes are pushed into the request. Spark keeps the pushed filters
+of a loaded DataFrame's last query, so load anew for a query without filters.
 """
 
 from __future__ import annotations
@@ -95,6 +96,19 @@ class HttpTransport:
         return Response(r.status, dict(r.headers), chunks=chunks())
 
 
+class StaticTransport:
+    """Recorded responses by url, for replays and tests: a mapping of url to body text; others are 404."""
+
+    streams = False
+
+    def __init__(self, responses: dict[str, str]):
+        self.responses = responses
+
+    def request(self, method: str, url: str, headers: dict | None = None, body=None) -> Response:
+        found = self.responses.get(url)
+        return Response(404) if found is None else Response(200, {"Content-Type": "application/dicom+json"}, found.encode())
+
+
 def backoff_delay(attempt: int, base: float = BACKOFF_BASE, most: float = BACKOFF_MAX) -> float:
     return min(base * 2**attempt, most)
 
@@ -219,8 +233,11 @@ class Page(InputPartition):
 
 
 def client_of(options: dict) -> Client:
-    """``url``; ``token``; ``retries``; ``transport``: module:name of a factory of the innermost transport."""
-    if factory := options.get("transport"):
+    """``url``; ``token``; ``retries``; ``transport``: module:name of a factory of the innermost transport; or
+    ``responses``: JSON of recorded ones."""
+    if recorded := options.get("responses"):
+        transport = StaticTransport(json.loads(recorded))
+    elif factory := options.get("transport"):
         import importlib
 
         module, _, name = factory.partition(":")
