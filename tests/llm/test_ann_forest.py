@@ -47,7 +47,7 @@ def test_recall_and_exact_scores():
     ids = np.arange(len(x))
     forest, hits, share = A.Forest(x), [], []
     q = x[:200]
-    for (_, got, score), c in zip(forest.nearest(q, ids[:200], ids, 20, A.ENOUGH), forest.candidates(q, A.ENOUGH), strict=True):
+    for (_, got, score), c in zip(forest.nearest(q, ids[:200], ids, 20, A.TREES * 21), forest.candidates(q, A.TREES * 21), strict=True):
         i = len(hits)
         exact = x @ q[i]
         exact[i] = -9
@@ -63,7 +63,7 @@ def test_unequal_lengths_and_copies():
     x = np.vstack([x, np.repeat(x[:1], 500, 0)])
     ids = np.arange(len(x))
     hits = []
-    for i, (_, got, _) in enumerate(A.Forest(x).nearest(x[:50], ids[:50], ids, 20, A.ENOUGH)):
+    for i, (_, got, _) in enumerate(A.Forest(x).nearest(x[:50], ids[:50], ids, 20, A.TREES * 21)):
         exact = x @ x[i]
         exact[i] = -np.inf
         hits.append(len(set(got) & set(np.lexsort((ids, -exact))[:20])) / 20)

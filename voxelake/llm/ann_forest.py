@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelake.llm.common import tune, written
 
-TREES = 48
+TREES = 60
 SYMBOLS = 4
-#: Matches, summed over trees, at which the ascent stops.
+#: Matches, summed over trees, at which the ascent stops; never fewer than TREES * (k + 1), so that some tree alone
+#: has the query and k more.
 ENOUGH = 1000
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
@@ -117,6 +118,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     go to the smaller id. An empty table gives an empty result; other columns are ignored.
     """
     spark = tune(vectors.sparkSession)
+    enough = max(enough, TREES * (k + 1))
     v = F.col("v")
     usable = F.col("id").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable)
