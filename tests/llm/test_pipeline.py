@@ -65,3 +65,13 @@ def test_oracles(spark, name):
     result = connection.execute(sql)
     at = [[d[0] for d in result.description].index(c) for c in columns]
     assert got == sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=str)
+
+
+def test_odd_rows_and_empty_tables(spark, documents, prose, tmp_path):
+    rows = [(i, prose(i, 30), "en" if i % 2 else "de", "a") for i in range(20)]
+    rows += [(100, None, "en", "a"), (101, "", None, None), (102, "1 2 3", "en", "a"), (103, prose(3, 30), None, None), (103, prose(3, 30), None, None), (None, prose(5, 40), "en", None), (None, None, None, None), (104, "secret: " + "x1" * 50_000, "en", "b")]
+    for name, given in (("odd", rows), ("empty", [])):
+        documents(given).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} <= {i for i, *_ in given} - {100, 101, 102}
+        assert bool(out) == bool(given)
