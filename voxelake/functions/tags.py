@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from voxelake.dims import KEYWORD_OF, TAG_OF
+from voxelake.dims import FILE_VR, JSON_VR, KEYWORD_OF, TAG_OF
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -56,3 +56,15 @@ def query_key(tag_text: Column) -> Column:
     """The keyword of a known tag, else its eight digits."""
     tag = parse_tag(tag_text)
     return F.coalesce(lookup(KEYWORD_OF, tag), tag)
+
+
+def file_vr(tag: Column, bits_allocated: Column) -> Column:
+    """The value representation in files: pixel data by its allocated bits (OB up to 8, else OW, 16 if unknown),
+    unlisted tags UN."""
+    pixels = F.when(F.coalesce(bits_allocated.try_cast("int"), F.lit(16)) <= 8, F.lit("OB")).otherwise(F.lit("OW"))
+    return F.when(tag == TAG_OF["PixelData"], pixels).otherwise(F.coalesce(lookup(FILE_VR, tag), F.lit("UN")))
+
+
+def json_vr(tag: Column) -> Column:
+    """The value representation in DICOM JSON; unlisted tags UN."""
+    return F.coalesce(lookup(JSON_VR, tag), F.lit("UN"))

@@ -80,6 +80,10 @@ def _new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+_pick_sql = lambda values, key: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][{key} % {len(values)} + 1]"
+
+
 # --- tags and datasets ----------------------------------------------------------------------------------------------
 
 TAG_TEXTS = ["PatientName", " (0010,0020) ", "10,10", "7fe00010", "(0008, 103e)", "NoSuchKeyword", "0011,1001", "12345"]
@@ -182,6 +186,18 @@ def nested_private_count(spark, d):
     return found.groupBy("o_orderkey").agg(F.count_if(counted).alias("removed"), F.count_if(~F.exists("path", tags.is_private) & ~F.col("is_private")).alias("kept"))
 
 
+VR_TAGS = ["00100010", "7FE00010", "00180060", "00280010", "00111001"]
+
+
+@query(
+    f"SELECT p_partkey, {_pick_sql(VR_TAGS, 'p_partkey')} AS tag8, CASE p_partkey % 5 WHEN 0 THEN 'PN' WHEN 1 THEN CASE WHEN p_size <= 8 THEN 'OB' ELSE 'OW' END "
+    "WHEN 3 THEN 'US' ELSE 'UN' END AS file_vr, CASE p_partkey % 5 WHEN 0 THEN 'PN' WHEN 1 THEN 'OB' WHEN 3 THEN 'US' ELSE 'UN' END AS json_vr FROM part"
+)
+def vr_lookup(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_size", _pick(VR_TAGS, "p_partkey").alias("tag8"))
+    return rows.select("p_partkey", "tag8", tags.file_vr(F.col("tag8"), F.col("p_size")).alias("file_vr"), tags.json_vr(F.col("tag8")).alias("json_vr"))
+
+
 # --- identifiers and dates ------------------------------------------------------------------------------------------
 
 UID_CASES = ["1.2.840.10008.1.1", "1.2.03.4", "", "1..2.3", "1.2.a", ".1.2", "0", "1.0.2"]
@@ -234,8 +250,6 @@ def date_shift_dt(spark, d):
 CHARSET_TEXTS = ["", "ISO_IR 100", "iso ir 192", "utf-8", "\\ISO 2022 IR 87", "ISO_2022_IR_149\\iso_ir_6", "nonsense", "GB18030"]
 CHARSET_TERMS = ["ISO_IR 6", "ISO_IR 100", "ISO_IR 192", "ISO_IR 192", "ISO 2022 IR 87", "ISO 2022 IR 149|ISO_IR 6", "NONSENSE", "GB18030"]
 CHARSET_CODECS = ["ascii", "latin_1", "utf-8", "utf-8", "iso2022_jp", "iso2022_kr|ascii", None, "gb18030"]
-_pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
-_pick_sql = lambda values, key: "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][{key} % {len(values)} + 1]"
 
 
 @query(f"SELECT doc_id, {_pick_sql(CHARSET_TERMS, 'doc_id')} AS terms FROM documents")
@@ -660,6 +674,17 @@ def sop_negotiation(spark, d):
     return studies(spark, d).select("o_orderkey", out["error"].alias("error"), F.array_join(out["accepted"], "|").alias("accepted"))
 
 
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'success' WHEN 1 THEN 'pending' WHEN 2 THEN 'cancel' WHEN 4 THEN 'warning' ELSE 'failure' END AS class FROM events")
+def status_classes(spark, d):
+    codes = F.element_at(F.array(*map(F.lit, (0x0000, 0xFF00, 0xFE00, 0xC000, 0xB000, 0xA700))), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", service.status_class(codes).alias("class"))
+
+
+@query("SELECT o_orderkey, '1.2.' || o_orderkey AS segment FROM orders")
+def uid_path(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", uids.path_uid(F.concat(F.lit("1.2."), F.col("o_orderkey").cast("string"))).alias("segment"))
+
+
 @query("SELECT CAST(i AS BIGINT) AS attempt, least(1.0 * pow(2.0, i), 60.0)::DOUBLE AS delay FROM range(10) t(i)")
 def retry_backoff(spark, d):
     return spark.range(10).select(F.col("id").alias("attempt"), dicomweb.backoff_column(F.col("id")).alias("delay"))
