@@ -46,6 +46,18 @@ def test_stages(spark, tmp_path):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_clean(spark):
+    import os
+
+    from voxelake.llm import common
+
+    df = common.written(spark.range(3), "kept")
+    folder = common._PATHS[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(folder)
+    common.clean(spark)
+    assert not os.path.isdir(folder)
+
+
 def test_one_query_per_operator():
     names = list(llm_catalogue())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch handed to Python. Whole documents travel in it, so it is far below Spark's default of 10,000.
@@ -35,8 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths handed out in this process, for `clean`.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what operators wrote to the shared folder. Results that were not yet stored read those tables, so call
+    it when they have been."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    while _PATHS:
+        path = hadoop.Path(_PATHS.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -44,8 +57,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
-    """A batch's texts, null as the empty text."""
-    return [x or "" for x in column.to_pylist()]
