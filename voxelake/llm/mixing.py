@@ -150,14 +150,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as `mix` gives it copies, with its own columns.
 
-    ``size``, if given, is taken from the columns of ``docs``. Edge cases are those of `mix`.
+    ``size``, if given, is taken from the columns of ``docs``. Edge cases are those of `mix`. The copies grow with the
+    rows, so they are never broadcast: the join is a merge of unique keys at every size.
     """
     keys = copies_by_key(docs, id_col=id_col, source_col=source_col, **options)
     keys = written(keys.select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "copies")]).filter("__copies > 0"), "copies")
     size = options.get("size")
     own = word_count(F.col("text")) if size is None else size.cast("long")
     joined = docs.withColumn("__own", own).join(
-        keys, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
+        keys.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__size"))
     )
     names = [F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*names, F.explode(F.sequence(F.lit(1), "__copies")).alias("__nth")).select(*names)

@@ -243,7 +243,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows with all their columns whose id is the smallest of their `near_duplicates` component.
 
     Rows that repeat an id are one document and stay together. Rows of null id stay only where a component has no id.
+    The kept ids grow with the rows, so they are never broadcast: the join is a merge of unique keys at every size.
     """
     named = near_duplicates(docs, id_col, text_col, **options)
     kept = named.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(written(kept, "kept"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(written(kept, "kept").hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
