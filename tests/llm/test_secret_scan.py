@@ -82,3 +82,28 @@ def test_long_values_take_linear_time():
     S.log10_guesses("ab12" * 50_000)
     S.log10_guesses("qwe1" * 50_000)
     assert time.time() - began < 60
+
+
+def guessed(text):
+    return [text[a:e] for a, _, e in S.guess_spans(text)]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("pwd: xkqzvbnmwrtplkgh", "xkqzvbnmwrtplkgh"),
+        ("credentials: JBSWYDPEHPKPXPQR", "JBSWYDPEHPKPXPQR"),
+        ("Credentials: Jbswydpehpkpxpqr.", "Jbswydpehpkpxpqr"),
+        ("client secret: 'q#z!v@k$w%'", "q#z!v@k$w%"),
+        ("the passcode is 830571629416", "830571629416"),
+        ("auth bearer $%(@^&_+~!|{", "$%(@^&_+~!|{"),
+    ],
+)
+def test_every_costly_value_is_found_whatever_its_characters(documents, text, value):
+    assert guessed(text) == [value] and S.scan_secrets(documents([(1, text, "en", "a")])).first().n_guess == 1
+    assert value not in S.redact_documents(documents([(1, text, "en", "a")])).first().text
+
+
+def test_plain_words_in_contexts_are_no_secrets():
+    for word in ("authentication", "requirements", "Expiration", "ingredient", "credentials:", "AUTHORIZATION", "password-protected", "username/password", "validation.", "12345678901234567890", "qwertyuiop"):
+        assert guessed(f"the secret {word} and so on") == [], word

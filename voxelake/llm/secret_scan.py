@@ -4,7 +4,7 @@ Base spans come from three patterns (`BASE`). The method adds a span of kind ``g
 in a credential context (`CONTEXT`) and that an attacker would need at least 10 ** `MIN_LOG10_GUESSES` guesses for.
 The number of guesses is that of the cheapest segmentation of the value into
 
-* words: ranked common passwords and words, with the letter case's variations,
+* words: ranked common passwords, then English words (`wordlist`), with the letter case's variations,
 * dates: years and day-month-year forms with or without separators,
 * repeats: a block of up to `MAX_BLOCK` characters standing twice or more (one character: three times), from where
   the maximal repetition starts,
@@ -12,7 +12,9 @@ The number of guesses is that of the cheapest segmentation of the value into
 * brute-force spans: each character costs the size of its class.
 
 Costs are decimal logarithms and add up. Each position has a bounded number of segments that end there, so a value
-costs time in proportion to its length, however long it is.
+costs time in proportion to its length, however long it is. The cost alone decides, whatever characters a value has:
+a word of prose in a context stays below the threshold because it is a ranked word, and one that is not ranked (of
+another language, say) is a span like any other value of its cost.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxelake.llm.wordlist import PLAIN
+
 # fixed values: patterns of the contract
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)),
@@ -54,8 +58,9 @@ changeit example sample demo temp system server service account token passwd pas
 client internal local dev prod staging spring winter autumn january february march april june july august
 september october november december monday tuesday wednesday thursday friday saturday sunday correct horse battery
 staple placeholder insert your here none null undefined required optional
+passphrase passcode credential credentials auth authorization bearer
 """.split()
-RANKS = {word: rank for rank, word in reversed(list(enumerate(COMMON, 1)))}
+RANKS = {word: rank for rank, word in reversed(list(enumerate(COMMON + PLAIN, 1)))}
 WORD_LENGTHS = sorted({len(w) for w in RANKS})
 
 # fixed values: the rows of a US keyboard, plain and shifted, and how far each row is indented in half keys
@@ -148,12 +153,6 @@ def log10_guesses(v: str) -> float:
     return best[-1]
 
 
-def mixed(v: str) -> bool:
-    """Whether a value has letters and digits, or letters of both cases past its first: what plain words have not."""
-    letters = any(map(str.isalpha, v))
-    return (letters and any(map(str.isdigit, v))) or (any(map(str.isupper, v[1:])) and any(map(str.islower, v)))
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index into KINDS, end) of the fixed patterns, leftmost and non-overlapping per kind."""
     low, out = text.lower(), []
@@ -171,9 +170,12 @@ def guess_spans(text: str, threshold: float = MIN_LOG10_GUESSES) -> list[tuple[i
     if not any(hint in low for hint in CONTEXT_HINTS):
         return out
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}#&$%*")
-        if len(value) >= 8 and mixed(value) and log10_guesses(value) >= threshold:
-            out.append((m.start(1), 3, m.start(1) + len(value)))
+        start, end = m.span(1)
+        quoted = end < len(text) and text[end] in "\"'" and text[start - 1] == text[end]
+        # what ends a sentence or a markup is no part of a value, unless quotes say that it is
+        value = m[1] if quoted else m[1].rstrip(".:!?)]}#&$%*")
+        if len(value) >= 8 and log10_guesses(value) >= threshold:
+            out.append((start, 3, start + len(value)))
     return out
 
 
