@@ -107,3 +107,48 @@ def test_every_costly_value_is_found_whatever_its_characters(documents, text, va
 def test_plain_words_in_contexts_are_no_secrets():
     for word in ("authentication", "requirements", "Expiration", "ingredient", "credentials:", "AUTHORIZATION", "password-protected", "username/password", "validation.", "12345678901234567890", "qwertyuiop"):
         assert guessed(f"the secret {word} and so on") == [], word
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "secret credentials: {}",
+        "auth passphrase: {}",
+        "token credentials {}",
+        "bearer authorization := {}",
+        "secret db.admin.credentials => '{}'",
+        "auth credentials passphrase authorization {} and more",
+        "secret x7Kq9vvR2mWt-token: {}",
+    ],
+)
+def test_chained_keywords(documents, text):
+    value = "Zq8vK2mX9pLw"
+    text = text.format(value)
+    assert guessed(text)[-1] == value and guessed(text)[:-1] in ([], ["x7Kq9vvR2mWt-token"])
+    assert value not in S.redact_documents(documents([(1, text, "en", "a")])).first().text
+
+
+def test_chained_keywords_take_linear_time():
+    import time
+
+    began = time.time()
+    assert guessed("token credentials " * 20_000 + "Zq8vK2mX9pLw") == ["Zq8vK2mX9pLw"]
+    assert guessed("pwd=" * 1_000 + " Zq8vK2mX9pLw") == ["Zq8vK2mX9pLw"] and len(guessed("pwd=" * 100_000 + " Zq8vK2mX9pLw")) == 2
+    assert len(guessed("token=secret:" * 30_000 + " Zq8vK2mX9pLw")) == 2
+    assert time.time() - began < 60
+
+
+CHAIN = ["pwd", "token", "secret", "credentials", "auth", "passphrase", "api_key", "=", ":", " ", " is ", "=>", '"', "Zq8vK2", "x7", "aaaa", "qwerty", "#", ";", "\n"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(CHAIN), max_size=14))
+def test_no_context_is_passed_over(parts):
+    """The characters covered are those of all contexts, tried at every position one by one."""
+    text, want = "".join(parts), set()
+    for i in range(len(text)):
+        if (m := S.CONTEXT.match(text, i)) and S.guess_spans(text[i : m.end() + 1])[:1]:
+            a, _, e = S.guess_spans(text[i : m.end() + 1])[0]
+            if i + a == m.start(1):
+                want |= set(range(i + a, i + e))
+    assert {n for a, _, e in S.guess_spans(text) for n in range(a, e)} >= want

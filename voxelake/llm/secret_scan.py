@@ -43,6 +43,8 @@ CONTEXT = re.compile(
 #: A lower-cased text with none of these has no match of the assign pattern, or of CONTEXT.
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
+#: Characters at the end of a value in which the keyword of a context whose value stands behind it begins.
+KEYWORD_REACH = 16
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 10.0
 MAX_BLOCK = 4
@@ -165,12 +167,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, threshold: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
-    """Spans of values in credential contexts whose guess cost reaches the threshold."""
-    low, out = text.lower(), []
+    """Spans of values in credential contexts whose guess cost reaches the threshold.
+
+    Contexts may overlap: the end of a value can be the keyword of the next one. No value inside another is looked at:
+    it ends where that ends, so it is covered, or costs no more than what was refused.
+    """
+    low, out, at, done = text.lower(), [], 0, 0
     if not any(hint in low for hint in CONTEXT_HINTS):
         return out
-    for m in CONTEXT.finditer(text):
+    while m := CONTEXT.search(text, at):
         start, end = m.span(1)
+        at = max(start, end - KEYWORD_REACH)
+        if start < done:
+            continue
+        done = end
         quoted = end < len(text) and text[end] in "\"'" and text[start - 1] == text[end]
         # what ends a sentence or a markup is no part of a value, unless quotes say that it is
         value = m[1] if quoted else m[1].rstrip(".:!?)]}#&$%*")
