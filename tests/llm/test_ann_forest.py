@@ -73,3 +73,30 @@ def test_unequal_lengths_and_copies():
 def test_empty(spark):
     assert A.search(table(spark, [])).collect() == []
     assert A.search(table(spark, [(20, [1.0], 0)])).collect() == []
+
+
+def test_own_rows_do_not_end_the_ascent():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    # forty copies of the first row, and forty near it, are its own
+    x = np.vstack([x, np.repeat(x[:1], 40, 0), x[:1] + 1e-3 * rng.standard_normal((40, 16))])
+    ids = np.r_[np.arange(3000), np.zeros(80, int)]
+    ((query, got, _), (_, other, _)) = A.Forest(x).nearest(x[[0, 7]], ids[[0, 7]], ids, 20, A.TREES * 21)
+    want = np.argsort(-(x[:3000] @ x[0]), kind="stable")[1:21]
+    assert len(got) == len(other) == 20 and set(query) == {0} and 0 not in got and len(set(got) & set(want)) >= 18
+
+
+def test_repeated_rows_are_one_row_of_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)], 0) for i in range(2000)]
+    near = brute(rows)[40][0][0]
+    rows += [rows[20]] * 1000 + [rows[33]] * 3 + [rows[near]] * 50
+    tables, write = {}, A.written
+    monkeypatch.setattr(A, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    got, want = found(A.search(table(spark, rows))), brute(rows)
+    assert tables["vectors"].count() == 2000 and set(got) == set(want) and all(len(g) == 20 for g in got.values())
+    hits = [sum(min([i for i, _ in got[q]].count(i), [i for i, _ in w].count(i)) for i in {i for i, _ in w}) / 20 for q, w in want.items()]
+    assert np.mean(hits) >= 0.9 and np.allclose([s for _, s in got[20]][:1], [s for _, s in want[20]][:1], rtol=1e-6)
+    # each repeat is a candidate of its own
+    assert max([i for i, _ in g].count(33) for g in got.values()) == 4 and [i for i, _ in got[40]] == [near] * 20

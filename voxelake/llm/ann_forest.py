@@ -3,12 +3,12 @@
 A tree rotates vectors at random and names each by the coordinates it is largest in, with their signs, largest first:
 a string of `SYMBOLS` symbols. Vectors of small angles share long prefixes. A tree is the sorted array of its
 strings. A query descends every tree to its longest prefix match, then ascends all trees at the same pace: prefixes
-are shortened by one symbol in all trees until `ENOUGH` matches are found; past the last symbol a block is searched
-whole. The candidates are then compared exactly, by double-precision inner products of the original vectors.
+are shortened by one symbol in all trees until `ENOUGH` matches other than the query's own rows are found; past the
+last symbol a block is searched whole. The candidates are then compared exactly, by double-precision inner products of the original vectors.
 
 The stated queries meet all rows in blocks: a block of about `BLOCK_ROWS` rows has its own forest, and blocks of
 about `BLOCK_QUERIES` queries visit it, so a task holds a few megabytes whatever the table's size and however many
-copies of one vector there are. Rows fall into blocks by hash. Only the best ``k`` of each query and block leave it.
+copies of one vector there are. Rows of equal id and vector are one row with a count, and rows fall into blocks by hash. Only the best ``k`` of each query and block leave it.
 
 For inner products of vectors of unequal lengths, a block's vectors get one more coordinate that makes them all as
 long as its longest (queries get zero there), so that the angle orders as the product does.
@@ -26,8 +26,8 @@ from voxelake.llm.common import tune, written
 
 TREES = 60
 SYMBOLS = 4
-#: Matches, summed over trees, at which the ascent stops; never fewer than TREES * (k + 1), so that some tree alone
-#: has the query and k more.
+#: Matches, summed over trees and without the query's own rows, at which the ascent stops; never fewer than
+#: TREES * (k + 1), so that some tree alone has more than k.
 ENOUGH = 1000
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
@@ -70,8 +70,8 @@ class Forest:
             order = np.argsort(key, kind="stable")
             self.trees.append((key[order], order))
 
-    def candidates(self, queries: np.ndarray, enough: int):
-        """For each query the rows that the ascent gathers."""
+    def candidates(self, queries: np.ndarray, enough: int, query_ids: np.ndarray | None = None, ids: np.ndarray | None = None):
+        """For each query the rows that the ascent gathers; rows of the query's own id do not count towards ``enough``."""
         unit = queries / np.sqrt((queries * queries).sum(1))[:, None]
         unit = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32)
         low = np.zeros((len(self.trees), self.symbols + 1, len(unit)), np.int64)
@@ -84,6 +84,16 @@ class Forest:
                 low[t, level] = np.searchsorted(keys, first)
                 high[t, level] = np.searchsorted(keys, first + width)
         found = (high - low).sum(0)
+        if query_ids is not None and len(query_ids):
+            by_id = np.argsort(query_ids)
+            asks = by_id[np.minimum(np.searchsorted(query_ids, ids, sorter=by_id), len(by_id) - 1)]
+            own = np.flatnonzero(query_ids[asks] == ids)
+            asks, place = asks[own], np.zeros(len(self.x), np.int64)
+            for t, (_, order) in enumerate(self.trees):
+                place[order] = np.arange(len(order))
+                inside = (place[own] >= low[t][:, asks]) & (place[own] < high[t][:, asks])
+                for level in range(1, self.symbols + 1):
+                    found[level] -= np.bincount(asks[inside[level]], minlength=len(unit))
         for i in range(len(unit)):
             level = next((n for n in range(self.symbols, 0, -1) if found[n, i] >= enough), 0)
             if level == 0:
@@ -94,9 +104,12 @@ class Forest:
                 mark[order[low[t, level, i] : high[t, level, i]]] = True
             yield np.flatnonzero(mark)
 
-    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, enough: int):
-        """(query id, row id, score) of each query's best k by score, then id; never a row with the query's own id."""
-        for i, at in enumerate(self.candidates(queries, enough)):
+    def nearest(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, enough: int, counts: np.ndarray | None = None):
+        """(query id, row id, score) of each query's best k by score, then id; never a row with the query's own id.
+
+        ``counts`` says how often each row is there, once if not given.
+        """
+        for i, at in enumerate(self.candidates(queries, enough, query_ids, ids)):
             at = at[ids[at] != query_ids[i]]
             if not len(at):
                 continue
@@ -106,6 +119,8 @@ class Forest:
                 keep = score >= least
                 at, score = at[keep], score[keep]
             best = np.lexsort((ids[at], -score))[:k]
+            if counts is not None:
+                best = np.repeat(best, np.minimum(counts[at[best]], k))[:k]
             yield np.full(len(best), query_ids[i]), ids[at[best]], score[best]
 
 
@@ -121,8 +136,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     enough = max(enough, TREES * (k + 1))
     v = F.col("v")
     usable = F.col("id").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(usable)
-    rows = written(rows.withColumn("dim", F.size("v")), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(usable)
+    # a row repeated any number of times is one row of a block
+    rows = rows.groupBy("id", "v").agg(F.count("*").alias("n"))
+    rows = written(rows.withColumns({"v": v.cast("array<double>"), "dim": F.size("v")}), "vectors")
     queries = rows.filter(F.col("id") % every == 0).groupBy("dim", "id").agg(F.min("v").alias("v"))
     counts = {(r[0], r[1]): r[2] for r in rows.groupBy("dim", (F.col("id") % every == 0).alias("asks")).count().collect()}
     sizes = {dim: (counts.get((dim, False), 0) + counts.get((dim, True), 0), counts.get((dim, True), 0)) for dim, _ in counts}
@@ -133,7 +150,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     placed = rows.withColumn("rb", F.pmod(F.xxhash64("id", "v"), row_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("id"), query_blocks)).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), row_blocks.cast("long") - 1)))
     keys = ["dim", "rb", "qb"]
-    placed, asked = placed.select(*[F.col(c).cast("long") for c in keys], "id", "v"), asked.select(*[F.col(c).cast("long") for c in keys], "id", "v")
+    placed, asked = placed.select(*[F.col(c).cast("long") for c in keys], "id", "v", "n"), asked.select(*[F.col(c).cast("long") for c in keys], "id", "v")
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         flat = table.column("v").combine_chunks().flatten().to_numpy()
@@ -143,7 +160,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
         parts = []
         if left.num_rows and right.num_rows:
             (ids, x), (query_ids, q) = matrix(left), matrix(right)
-            parts = list(Forest(x).nearest(q, query_ids, ids, k, enough))
+            parts = list(Forest(x).nearest(q, query_ids, ids, k, enough, left.column("n").to_numpy()))
         a, b, s = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(3))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
