@@ -200,6 +200,30 @@ def test_search_source(spark):
         spark.read.format("dicomweb").options(**options).load().collect()
 
 
+def test_search_source_reads_all_pages(spark):
+    dicomweb.register(spark)
+    item = lambda n: '{"00100020":{"vr":"LO","Value":["%d"]}}' % n  # noqa: E731, UP031
+    page = lambda n, size, ids: {f"http://x/studies?limit={size}&offset={n}": f"[{','.join(map(item, ids))}]"}
+    read = lambda answers, **options: sorted(int(r.PatientID) for r in spark.read.format("dicomweb").options(url="http://x", responses=json.dumps(answers), **options).load().collect())
+    assert read(page(0, 1000, range(1000)) | page(1000, 1000, range(1000, 1003)) | page(1003, 1000, [])) == list(range(1003))
+    assert read(page(0, 1000, [])) == []
+    # a server that never gives more than two
+    assert read(page(0, 3, [1, 2]) | page(2, 3, [3, 4]) | page(4, 3, [5]) | page(5, 3, []), pageSize="3") == [1, 2, 3, 4, 5]
+    # pages is a hint: what follows the last of them is read too
+    assert read(page(0, 2, [1, 2]) | page(2, 2, [3, 4]) | page(4, 2, [5, 6]) | page(6, 2, [7]), pageSize="2", pages="2") == [1, 2, 3, 4, 5, 6, 7]
+    assert read(page(0, 3, [1, 2]) | page(2, 1, [3]) | page(3, 3, [4]), pageSize="3", pages="2") == [1, 2, 3, 4]
+    # a server that ignores offsets has given all, unless its answer is as long as what was asked for
+    assert read(page(0, 9, [1, 2]) | page(2, 9, [1, 2]), pageSize="9") == [1, 2]
+    with pytest.raises(Exception, match="does not page"):
+        read(page(0, 1, [1]) | page(1, 1, [1]), pageSize="1")
+
+
+def test_short_pages_with_a_warning_go_on():
+    answers = [dicomweb.Response(200, {"Warning": "299 x: more"}, b"[{}]"), dicomweb.Response(200, body=b'[{"1":{}}]')]
+    pages = dicomweb.Client("http://x", Fake(*answers)).pages("series", qido.Query(), 5, 10, short_ends=True, study="1.2")
+    assert list(pages) == [[{}], [{"1": {}}]]
+
+
 def test_batch(spark, tmp_path):
     from voxelake.operators import batch
 

@@ -178,9 +178,38 @@ class Client:
     def _get(self, url: str, accept: str) -> Response:
         return self._checked(self.transport.request("GET", url, self.headers | {"Accept": accept}))
 
+    def _page(self, *parts: str, query: Query | None = None) -> tuple[list[dict], bool]:
+        """A search's answer, and whether the server warns that there is more of it."""
+        response = self._get(self._url(*parts, query=query), "application/dicom+json")
+        found = json.loads(response.body or b"[]")
+        return found if isinstance(found, list) else [found], (response.header("warning") or "").startswith("299")
+
     def _search(self, *parts: str, query: Query | None = None) -> list[dict]:
-        found = json.loads(self._get(self._url(*parts, query=query), "application/dicom+json").body or b"[]")
-        return found if isinstance(found, list) else [found]
+        return self._page(*parts, query=query)[0]
+
+    def pages(self, level: str, query: Query, size: int, offset: int = 0, stop: int | None = None, short_ends: bool = False, study: str = "", series: str = "") -> Iterator[list[dict]]:
+        """The results of a search from ``offset`` up to ``stop``, or all, asked for ``size`` at a time.
+
+        A server may hold back results beyond a limit of its own, so the next page starts behind what has come, and
+        only an empty page is the end; with ``short_ends``, so is one of fewer than ``size`` without a warning.
+        """
+        parts = {"studies": ["studies"], "series": ["studies", study, "series"]}.get(level, ["studies", study, "series", series, "instances"])
+        for uid in parts[1::2]:
+            checked_uid(uid)
+        before = None
+        while stop is None or offset < stop:
+            asked = size if stop is None else min(size, stop - offset)
+            found, more = self._page(*parts, query=query.limit(asked).offset(offset))
+            if not found:
+                return
+            if found == before and stop is None and len(found) != asked:
+                return  # a server without paging has given all of it at once
+            if found == before or (stop is not None and len(found) > asked):
+                raise DicomwebError(f"the server does not page: limit={asked}, offset={offset}")
+            yield found
+            if short_ends and len(found) < asked and not more:
+                return
+            before, offset = found, offset + len(found)
 
     def search_studies(self, query: Query | None = None) -> list[dict]:
         return self._search("studies", query=query)
@@ -228,8 +257,8 @@ class Client:
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int, size: int):
-        self.offset, self.size = offset, size
+    def __init__(self, offset: int, stop: int | None):
+        self.offset, self.stop = offset, stop
 
 
 def client_of(options: dict) -> Client:
@@ -253,8 +282,12 @@ PUSHED = {k.split(" ")[0] for k in SCHEMA.split(", ")} - {"dataset"}
 
 
 class DicomwebReader(DataSourceReader):
-    """A search: options ``level`` (studies, or series and instances with ``study`` and ``series``), ``pages`` and
-    ``pageSize`` (a partition a page), and any query attribute as ``match.<Keyword>``."""
+    """A search: options ``level`` (studies, or series and instances with ``study`` and ``series``), ``pageSize``
+    (results asked for at a time, 1,000 unless given), ``pages``, and any query attribute as ``match.<Keyword>``.
+
+    All results are read. Without ``pages`` one partition asks for page after page until one is empty. With it, so
+    many pages are partitions of their own and the last goes on behind its page, until a page is short of
+    ``pageSize`` and the server does not warn of more; so ``pageSize`` should be within the server's own limit."""
 
     def __init__(self, options: dict):
         self.options, self.query = options, Query()
@@ -271,19 +304,19 @@ class DicomwebReader(DataSourceReader):
             yield f  # names match case-insensitively on some servers, so Spark tests again
 
     def partitions(self):
+        size, pages = self._size(), max(1, int(self.options.get("pages", "1")))
+        return [Page(i * size, (i + 1) * size if i + 1 < pages else None) for i in range(pages)]
+
+    def _size(self) -> int:
         size = int(self.options.get("pagesize", "1000"))
-        return [Page(i * size, size) for i in range(int(self.options.get("pages", "1")))]
+        if size < 1:
+            raise ValueError("pageSize must be positive")
+        return size
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        client = client_of(self.options)
-        query = self.query.limit(partition.size).offset(partition.offset)
         level = self.options.get("level", "studies")
-        if level == "studies":
-            found = client.search_studies(query)
-        elif level == "series":
-            found = client.search_series(self.options["study"], query)
-        else:
-            found = client.search_instances(self.options["study"], self.options["series"], query)
+        uids = {k: self.options[k] for k in {"studies": [], "series": ["study"]}.get(level, ["study", "series"])}
+        pages = client_of(self.options).pages(level, self.query, self._size(), partition.offset, partition.stop, "pages" in self.options and partition.stop is None, **uids)
         names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
 
         def value(item: dict, keyword: str):
@@ -291,8 +324,9 @@ class DicomwebReader(DataSourceReader):
             first = first.get("Alphabetic") if isinstance(first, dict) else first
             return None if first is None else str(first)
 
-        columns = [pa.array([value(i, n) for i in found], pa.string()) for n in names[:-1]]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([json.dumps(i, ensure_ascii=False) for i in found], pa.string())], names=names)
+        for found in pages:
+            columns = [pa.array([value(i, n) for i in found], pa.string()) for n in names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([json.dumps(i, ensure_ascii=False) for i in found], pa.string())], names=names)
 
 
 class Stored(WriterCommitMessage):
