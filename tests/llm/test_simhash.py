@@ -92,3 +92,16 @@ def test_empty_and_null_ids(documents):
     got = S.near_duplicates(documents(rows)).collect()
     assert sorted(str(r.component_id) for r in got) == ["3", "None", "None"]
     assert S.deduplicate(documents([*rows, (9, "a b c", "en", "a"), (3, "something else entirely", "en", "a")])).count() == 3
+
+
+def test_rows_stay_or_go_with_their_own_component(documents, prose):
+    a, b, c, d = (prose(i, 40) for i in range(4))
+    rows = [(1, a, "en", "a"), (2, b, "en", "a"), (2, a, "de", "a"), (3, c, "en", "a"), (3, c, "en", "a"), (None, d, "en", "a"), (None, d, "en", "a"), (None, d, "fr", None), (None, a, "en", "a"), (None, c, "en", "a"), (None, None, None, None), (None, "", "en", "a")]
+    got = [(r.doc_id, r.text or "") for r in S.deduplicate(documents(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (3, c), (None, d), (None, "")], key=str)
+    assert S.deduplicate(documents(rows)).columns == documents(rows).columns and S.deduplicate(documents([])).count() == 0
+
+
+def test_null_ids_do_not_keep_each_other(documents, prose):
+    rows = [(None, prose(1, 40), "en", "a"), *((None, prose(2, 40), "en", "a") for _ in range(5)), (7, prose(2, 40), "en", "a")]
+    assert sorted((r.doc_id or 0, r.text) for r in S.deduplicate(documents(rows)).collect()) == [(0, prose(1, 40)), (7, prose(2, 40))]

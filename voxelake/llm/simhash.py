@@ -21,6 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from voxelake.llm.common import tune, written
 
@@ -80,6 +81,20 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
 
 
+def fingerprinted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The rows with all their columns and ``__fp``, as in `fingerprints`."""
+    tune(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            found = np.array([fingerprint(t or "", words) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    return docs.mapInArrow(run, schema)
+
+
 def split_masks(free: list[int], close: int) -> list[tuple[int, list[int]]]:
     """For each choice of blocks of the free bits that a close pair must agree on: (its mask, the bits then free).
 
@@ -219,6 +234,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def named_components(prints: DataFrame, close: int, hot: int) -> DataFrame:
+    """(fp, first, root, component_id) of the distinct fingerprints of ``prints`` (id, fp): the least id that has the
+    fingerprint, and its component's least fingerprint and least id."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    roots = components(links(distinct.select("fp"), close, hot))
+    named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = written(named, "named")
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    return written(named.join(least, "root").select("fp", "first", "root", "component_id"), "of_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, close: int = 3, hot: int = HOT) -> DataFrame:
     """(``id_col``, fingerprint, component_id): a row per input row.
 
@@ -228,23 +254,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share fingerprint and component. An empty table gives an empty result; other columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), close, hot))
-    named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    of_fp = named_components(prints, close, hot).select(F.col("fp").alias("fp_"), "component_id")
     # the table of distinct fingerprints is joined by fingerprint; a group of equal ones is a skewed key on the side of the rows
-    of_fp = written(named.select("fp", "root").join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "of_fp")
     out = prints.join(of_fp, F.col("fp") == F.col("fp_"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows with all their columns whose id is the smallest of their `near_duplicates` component.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, close: int = 3, hot: int = HOT) -> DataFrame:
+    """The rows with all their columns that stand for their `near_duplicates` component: those of its smallest id, and
+    of the least of this id's fingerprints in the component.
 
-    Rows that repeat an id are one document and stay together. Rows of null id stay only where a component has no id.
-    The kept ids grow with the rows, so they are never broadcast: the join is a merge of unique keys at every size.
+    Rows that repeat an id and a fingerprint are one document and stay together. Of a component that has only null ids
+    one row stays. A row stays or goes with its own component, whatever becomes of other rows of its id.
+    The kept fingerprints grow with the rows, so they are never broadcast: the join is a merge of unique keys at every
+    size.
     """
-    named = near_duplicates(docs, id_col, text_col, **options)
-    kept = named.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(written(kept, "kept").hint("merge"), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    rows = written(fingerprinted(docs, text_col, words), "printed")
+    of_fp = named_components(rows.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), close, hot)
+    # a component's least id is the least of some of its fingerprints; the least of those is kept
+    kept = of_fp.filter(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("__kept"))
+    kept = written(kept.select("__kept", F.col("component_id").alias("__id")), "kept")
+    same = (F.col("__fp") == F.col("__kept")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    out = rows.join(kept.filter("__id is not null").hint("merge"), same, "left_semi").drop("__fp")
+    of_none = rows.filter(F.col(id_col).isNull()).join(kept.filter("__id is null").hint("merge"), same, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = of_none.groupBy("__fp").agg(F.min_by(whole, F.to_json(whole)).alias("__row"))
+    return out.unionByName(one.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
