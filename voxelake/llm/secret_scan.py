@@ -4,17 +4,18 @@ Base spans come from three patterns (`BASE`). The method adds a span of kind ``g
 in a credential context (`CONTEXT`) and that an attacker would need at least 10 ** `MIN_LOG10_GUESSES` guesses for.
 The number of guesses is that of the cheapest segmentation of the value into
 
-* words: ranked common passwords, then English words (`wordlist`), with the letter case's variations,
+* words: ranked common passwords, then English words (`wordlist`), forwards or backwards, with the variations of
+  letter case and of signs that stand for letters (`LOOKALIKES`),
 * dates: years and day-month-year forms with or without separators,
-* repeats: a block of up to `MAX_BLOCK` characters standing twice or more (one character: three times), from where
-  the maximal repetition starts,
-* keyboard walks: neighbouring keys of a QWERTY keyboard, from where the maximal walk starts, three keys or more,
+* repeats: a block of any length standing twice or more (one character: three times), anywhere in a repetition,
+* keyboard walks: three or more neighbouring keys of a QWERTY keyboard, anywhere in a walk,
 * brute-force spans: each character costs the size of its class.
 
-Costs are decimal logarithms and add up. Each position has a bounded number of segments that end there, so a value
-costs time in proportion to its length, however long it is. The cost alone decides, whatever characters a value has:
-a word of prose in a context stays below the threshold because it is a ranked word, and one that is not ranked (of
-another language, say) is a span like any other value of its cost.
+Costs are decimal logarithms and add up. A block costs what its characters do by brute force, one or more a
+character, so blocks that could matter below a threshold are no longer than it, and a value costs time in proportion
+to its length, however long it is: the program stops where no segmentation can stay below the threshold any more. The
+cost alone decides, whatever characters a value has: a word of prose in a context stays below the threshold because
+it is a ranked word, and one that is not ranked (of another language, say) is a span like any other of its cost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +49,6 @@ CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth",
 KEYWORD_REACH = 16
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10_GUESSES = 10.0
-MAX_BLOCK = 4
 
 # fixed values: common passwords and words of passwords, most used first
 COMMON = """
@@ -69,13 +70,17 @@ WORD_LENGTHS = sorted({len(w) for w in RANKS})
 ROWS = (("`1234567890-=", "~!@#$%^&*()_+", 0), ("qwertyuiop[]\\", "QWERTYUIOP{}|", 3), ("asdfghjkl;'", 'ASDFGHJKL:"', 4), ("zxcvbnm,./", "ZXCVBNM<>?", 5))
 KEYS = {c: (2 * x + indent, y) for y, (plain, shifted, indent) in enumerate(ROWS) for row in (plain, shifted) for x, c in enumerate(row)}
 
+# fixed values: signs that stand for letters; the first table and the second differ in what 1, | and ! stand for
+LOOKALIKES = [str.maketrans("4@8(3691!|0$57+2", "aabceggiiiossttz"), str.maketrans("4@8(3691!|0$57+2", "aabcegglllossttz")]
+
+#: (least and most characters, pattern, log10 guesses) of the forms of dates.
 DATES = [
-    (re.compile(r"(?:19|20)\d\d(?!\d)|(?:19|20)\d\d"), math.log10(200)),
-    (re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"), math.log10(200 * 366)),
-    (re.compile(r"(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d"), math.log10(200 * 366)),
-    (re.compile(r"(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:19|20)\d\d"), math.log10(200 * 366)),
-    (re.compile(r"(?:19|20)\d\d[-/._]\d{1,2}[-/._]\d{1,2}"), math.log10(200 * 366 * 4)),
-    (re.compile(r"\d{1,2}[-/._]\d{1,2}[-/._](?:19|20)\d\d"), math.log10(200 * 366 * 4)),
+    (4, 4, re.compile(r"(?:19|20)\d\d", re.A), math.log10(200)),
+    (8, 8, re.compile(r"(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])", re.A), math.log10(200 * 366)),
+    (8, 8, re.compile(r"(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d", re.A), math.log10(200 * 366)),
+    (8, 8, re.compile(r"(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:19|20)\d\d", re.A), math.log10(200 * 366)),
+    (8, 10, re.compile(r"(?:19|20)\d\d[-/._]\d{1,2}[-/._]\d{1,2}", re.A), math.log10(200 * 366 * 4)),
+    (8, 10, re.compile(r"\d{1,2}[-/._]\d{1,2}[-/._](?:19|20)\d\d", re.A), math.log10(200 * 366 * 4)),
 ]
 
 
@@ -86,73 +91,134 @@ def char_cost(c: str) -> float:
     return 2.0
 
 
-def _words(v: str) -> Iterator[tuple[int, int, float]]:
-    low = v.lower() if v.isascii() else "".join(c.lower() if c.isascii() else c for c in v)
-    for i in range(len(v)):
+class _Words:
+    """Words that end at a position of a value."""
+
+    def __init__(self, v: str):
+        self.v = v
+        low = v.lower() if v.isascii() else "".join(c.lower() if c.isascii() else c for c in v)
+        self.forms = list(dict.fromkeys([low, *map(low.translate, LOOKALIKES)]))
+        # changes[f][i]: characters before i that form f replaced
+        self.changes = [[0, *accumulate(a != b for a, b in zip(low, form, strict=True))] for form in self.forms]
+
+    def ending(self, j: int) -> Iterator[tuple[int, float]]:
         for n in WORD_LENGTHS:
-            if i + n > len(v):
+            if n > j:
                 break
-            if rank := RANKS.get(low[i : i + n]):
-                upper = sum(map(str.isupper, v[i : i + n]))
-                plain = upper == 0 or upper == n or (upper == 1 and v[i].isupper())
-                yield i, i + n, math.log10(rank + 1) + math.log10(2) * (min(upper, 1) if plain else upper)
-
-
-def _dates(v: str) -> Iterator[tuple[int, int, float]]:
-    for i, c in enumerate(v):
-        if c.isdigit():
-            for pattern, cost in DATES:
-                if m := pattern.match(v, i):
-                    yield i, m.end(), cost
-
-
-def _repeats(v: str) -> Iterator[tuple[int, int, float]]:
-    for p in range(1, MAX_BLOCK + 1):
-        start = None
-        for i in range(p, len(v) + 1):
-            if i < len(v) and v[i] == v[i - p]:
-                if start is None:
-                    start, block = i - p, sum(map(char_cost, v[i - p : i]))
-                if (i + 1 - start) % p == 0 and i + 1 - start >= max(3, 2 * p):
-                    yield start, i + 1, block + math.log10((i + 1 - start) // p)
-            else:
-                start = None
-
-
-def _walks(v: str) -> Iterator[tuple[int, int, float]]:
-    start, turns, last = 0, 0, None
-    for i in range(1, len(v)):
-        a, b = KEYS.get(v[i - 1]), KEYS.get(v[i])
+            i = j - n
+            for form, changes in zip(self.forms, self.changes, strict=True):
+                word = form[i:j]
+                for backwards, rank in ((0, RANKS.get(word)), (1, RANKS.get(word[::-1]))):
+                    if rank:
+                        upper = sum(map(str.isupper, self.v[i:j]))
+                        plain = upper == 0 or upper == n or (upper == 1 and self.v[i].isupper())
+                        variations = (min(upper, 1) if plain else upper) + changes[j] - changes[i] + backwards
+                        yield i, math.log10(rank + 1) + math.log10(2) * variations
+
+
+def _dates(v: str, j: int) -> Iterator[tuple[int, float]]:
+    """Dates that end at a position of a value."""
+    if v[j - 1].isdigit():
+        for least, most, pattern, cost in DATES:
+            for n in range(least, min(most, j) + 1):
+                if pattern.fullmatch(v, j - n, j):
+                    yield j - n, cost
+
+
+class _Starts:
+    """Starts of segments that end further on and cost ``base + log10(blocks)``, of which the cheapest is asked.
+
+    An earlier start has more blocks, so it is worse for ever than a later one of no larger base; and as the blocks'
+    ratio only falls, a start that an earlier one beats now stays beaten. Both kinds are dropped.
+    """
+
+    def __init__(self):
+        self.held: list[tuple[int, float]] = []
+
+    def add(self, start: int, base: float) -> None:
+        while self.held and self.held[-1][1] >= base:
+            self.held.pop()
+        self.held.append((start, base))
+
+    def least(self, end: int, block: int) -> float:
+        kept, least = [], math.inf
+        for start, base in self.held:
+            if (cost := base + math.log10((end - start) // block)) < least:
+                least = cost
+                kept.append((start, base))
+        self.held = kept
+        return least
+
+
+class _Repeats:
+    """The cheapest way to end with a repeat, position by position."""
+
+    def __init__(self, v: str, limit: float):
+        self.v, self.limit = v, limit
+        self.brute = [0.0, *accumulate(map(char_cost, v))]
+        self.runs: dict[int, int] = {}
+        self.starts: dict[tuple[int, int], _Starts] = {}
+
+    def ending(self, j: int, best: list[float]) -> float:
+        """The cost of v[:j] if a repeat ends it; ``best`` has the costs of all shorter prefixes."""
+        v, least, at = self.v, math.inf, j - 1
+        # no character costs less than one, so a block of ``limit`` characters is none below it
+        for p in range(1, 1 + int(min(at, len(v) // 2, self.limit))):
+            if v[at] != v[at - p]:
+                if self.runs.pop(p, None) is not None:
+                    for r in range(p):
+                        self.starts.pop((p, r), None)
+                continue
+            # the run's first block begins here
+            first = self.runs.setdefault(p, at - p)
+            new = j - max(2 * p, 3)
+            if new >= first and best[new] < self.limit:
+                self.starts.setdefault((p, new % p), _Starts()).add(new, best[new])
+            if held := self.starts.get((p, j % p)):
+                least = min(least, self.brute[j] - self.brute[j - p] + held.least(j, p))
+        return least
+
+
+class _Walks:
+    """The cheapest way to end with a keyboard walk, position by position."""
+
+    TURN = math.log10(4)
+
+    def __init__(self, v: str, limit: float):
+        self.v, self.limit, self.starts, self.first, self.last, self.turns = v, limit, _Starts(), 0, None, []
+
+    def ending(self, j: int, best: list[float]) -> float:
+        a, b = (KEYS.get(c) for c in self.v[max(j - 2, 0) : j]) if j > 1 else (None, None)
         step = (b[0] - a[0], b[1] - a[1]) if a and b else None
         if step is None or step[1] not in (-1, 0, 1) or not 1 <= abs(step[0]) <= (2 if step[1] == 0 else 3):
-            start, turns, last = i, 0, None
-            continue
-        turns += step != last
-        last = step
-        if i + 1 - start >= 3:
-            yield start, i + 1, math.log10(len(KEYS) * (i + 1 - start)) + turns * math.log10(4)
-
-
-def segments(v: str) -> Iterator[tuple[int, int, float]]:
-    """All segments (start, end, log10 guesses) but the brute-force ones."""
-    yield from _words(v)
-    yield from _dates(v)
-    yield from _repeats(v)
-    yield from _walks(v)
-
-
-def log10_guesses(v: str) -> float:
-    """Cost of the cheapest segmentation; 0 for the empty value."""
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, cost in segments(v):
-        ending.setdefault(end, []).append((start, cost))
-    best = [0.0] * (len(v) + 1)
+            self.starts, self.first, self.last, self.turns = _Starts(), j - 1, None, []
+            return math.inf
+        # turns[i]: changes of direction up to the step from key i to the next of this walk
+        self.turns.append((self.turns[-1] if self.turns else 0) + (self.last is not None and step != self.last))
+        self.last, new = step, j - 3
+        if new >= self.first and best[new] < self.limit:
+            self.starts.add(new, best[new] - self.TURN * self.turns[new - self.first])
+        return self.starts.least(j, 1) + math.log10(len(KEYS)) + self.TURN * (1 + self.turns[-1])
+
+
+def log10_guesses(v: str, limit: float = MIN_LOG10_GUESSES) -> float:
+    """Cost of the cheapest segmentation if that is below ``limit``, else infinity; 0 for the empty value.
+
+    An infinite limit gives every cost, in time that grows with the square of the length.
+    """
+    words, repeats, walks = _Words(v), _Repeats(v, limit), _Walks(v, limit)
+    best, hope = [0.0], 0
+    reach = max(WORD_LENGTHS[-1], 10, 3, 0 if limit == math.inf else 2 * int(limit))
     for j in range(1, len(v) + 1):
-        least = best[j - 1] + char_cost(v[j - 1])
-        for start, cost in ending.get(j, ()):
-            least = min(least, best[start] + cost)
-        best[j] = least
-    return best[-1]
+        ends = [best[j - 1] + char_cost(v[j - 1]), repeats.ending(j, best), walks.ending(j, best)]
+        ends += [best[i] + cost for i, cost in chain(words.ending(j), _dates(v, j)) if best[i] < limit]
+        best.append(min(ends))
+        if best[j] < limit:
+            hope = j
+        # costs of open repeats and walks only grow, so they end what has no hope within reach
+        elif j - hope > reach and min(ends[1:3]) >= limit and all(s.least(j, p) >= limit for (p, _), s in repeats.starts.items()):
+            return math.inf
+    return best[-1] if best[-1] < limit else math.inf
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -184,7 +250,7 @@ def guess_spans(text: str, threshold: float = MIN_LOG10_GUESSES) -> list[tuple[i
         quoted = end < len(text) and text[end] in "\"'" and text[start - 1] == text[end]
         # what ends a sentence or a markup is no part of a value, unless quotes say that it is
         value = m[1] if quoted else m[1].rstrip(".:!?)]}#&$%*")
-        if len(value) >= 8 and log10_guesses(value) >= threshold:
+        if len(value) >= 8 and log10_guesses(value, threshold) >= threshold:
             out.append((start, 3, start + len(value)))
     return out
 
@@ -241,18 +307,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", threshold: float = MIN_LOG10_GUESSES) -> DataFrame:
     """The rows with all their columns, every span that `scan_secrets` finds in the text replaced by a mark.
 
-    The column of character counts follows the text where it changed. Null texts stay null.
+    The column of character counts, if there is one, follows the text where it changed, also from a null count. Null
+    texts stay null and empty ones empty. Each row is treated by itself and whole, so repeated rows give repeated
+    results and an empty table gives none; a mark that stands in a text already is text like any other.
     """
+    counted = chars_col in docs.columns
 
     def run(batches):
         for batch in batches:
-            at, chars = batch.schema.get_field_index(text_col), batch.schema.get_field_index(chars_col)
-            texts, counts = batch.column(at).to_pylist(), batch.column(chars).to_pylist()
+            at = batch.schema.get_field_index(text_col)
+            texts, changed = batch.column(at).to_pylist(), {}
             for i, text in enumerate(texts):
                 if text and (spans := base_spans(text) + guess_spans(text, threshold)):
                     texts[i] = redact(text, spans)
-                    counts[i] = len(texts[i])
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
+                    changed[i] = len(texts[i])
+            if changed:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+                if counted:
+                    chars = batch.schema.get_field_index(chars_col)
+                    counts = [changed.get(i, n) for i, n in enumerate(batch.column(chars).to_pylist())]
+                    batch = batch.set_column(chars, batch.schema.field(chars), pa.array(counts, batch.schema.field(chars).type))
+            yield batch
 
     return docs.mapInArrow(run, docs.schema)
