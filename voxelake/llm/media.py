@@ -12,7 +12,9 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,74 +38,130 @@ MAGIC = {
 }
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Walks:
+    """What the validators learn about one value, so that no byte of it is walked again and again.
+
+    Walks go from one position of a format's structure to the next, and what follows a position does not depend on
+    how it was reached. So positions that led nowhere are remembered, and lists of marks are made once.
+
+    Only checksums of long chunks, chunk lists of sound and inflating can overlap freely. They share a budget of
+    `WORK` times the value's length and a constant; once hostile bytes have used it up, further PNG, WAV and gzip
+    candidates of this value stay unconfirmed. Every other value is searched whole.
+    """
+
+    WORK, SPARE = 32, 64 << 20
+
+    def __init__(self, data: bytes):
+        self.data, self.left = data, self.WORK * len(data) + self.SPARE
+        self.dead: dict[str, set] = {}
+        self.boxes: dict[int, tuple[int, bool]] = {}
+
+    def afford(self, work: int) -> bool:
+        self.left -= work
+        return self.left >= 0
+
+    def fail(self, kind: str, states: list) -> None:
+        self.dead.setdefault(kind, set()).update(states)
+
+    def is_dead(self, kind: str, state) -> bool:
+        return state in self.dead.get(kind, ())
+
+    @cached_property
+    def jpeg_markers(self) -> list[int]:
+        return [m.start() for m in JPEG_MARKER.finditer(self.data)]
+
+    @cached_property
+    def pdf_marks(self) -> tuple[list[int], list[int], list[int]]:
+        """Where headers, cross-reference pointers and end marks stand."""
+        return tuple([m.start() for m in p.finditer(self.data)] for p in PDF_MARKS)
+
+
+# fixed values: what delimits segments and files
+JPEG_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+PDF_MARKS = (re.compile(rb"%PDF-\d\.\d"), re.compile(rb"startxref"), re.compile(rb"%%EOF"))
+PGM_HEADER = re.compile(rb"P5\s+(\d{1,9})\s+(\d{1,9})\s+(\d{1,5})\s")
+#: For each byte the one with its bits in reverse.
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _first_after(places: list[int], at: int) -> int | None:
+    i = bisect_left(places, at)
+    return places[i] if i < len(places) else None
+
+
+def _png(b: bytes, at: int, walks: Walks) -> int | None:
     """Chunks with valid checksums from IHDR to IEND."""
-    p, first = at + 8, True
-    while p + 12 <= len(b):
+    p, seen = at + 8, []
+    while p + 12 <= len(b) and not walks.is_dead("png", p):
         n, kind = struct.unpack_from(">I4s", b, p)
-        if first and (kind != b"IHDR" or n != 13) or p + 12 + n > len(b):
-            return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        p, first = p + 12 + n, False
+        if (not seen and (kind != b"IHDR" or n != 13)) or p + 12 + n > len(b) or not walks.afford(n):
+            break
+        if zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+            break
+        seen.append(p)
+        p += 12 + n
         if kind == b"IEND":
             return p - at
+    # what is refused as a first chunk may be a later one of another file
+    walks.fail("png", [*seen, p] if seen else [])
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, walks: Walks) -> int | None:
     """Marker segments up to the first scan, then entropy-coded data and more segments up to the end marker."""
-    p, scanned = at + 2, False
-    while p + 2 <= len(b):
+    p, scanned, seen = at + 2, False, []
+    while p + 2 <= len(b) and not walks.is_dead("jpeg", (p, scanned)):
+        seen.append((p, scanned))
         if b[p] != 0xFF:
-            return None
+            break
         marker = b[p + 1]
+        if marker == 0xFF:  # a fill byte
+            p += 1
+            continue
         if marker == 0xD9:
-            return p + 2 - at if scanned else None
+            if scanned:
+                return p + 2 - at
+            break
         if marker in (0x00, 0xD8) or p + 4 > len(b):
-            return None
+            break
         n = struct.unpack_from(">H", b, p + 2)[0]
         if n < 2 or p + 2 + n > len(b):
-            return None
+            break
         p += 2 + n
         if marker == 0xDA:
             scanned = True
-            m = JPEG_MARKER.search(b, p)
-            if m is None:
-                return None
-            p = m.start()
+            if (p := _first_after(walks.jpeg_markers, p)) is None:
+                break
+    walks.fail("jpeg", seen)
     return None
 
 
-JPEG_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
-
-
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, walks: Walks) -> int | None:
     """Screen descriptor, then extension and image blocks up to the trailer."""
     if b[at : at + 6] not in (b"GIF87a", b"GIF89a") or at + 13 > len(b):
         return None
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    while p < len(b):
+    flags, seen = b[at + 10], []
+    p, inside = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), False
+    while p < len(b) and not walks.is_dead("gif", (p, inside)):
+        seen.append((p, inside))
         kind = b[p]
-        if kind == 0x3B:
+        if inside:  # sub-blocks up to an empty one
+            inside = kind > 0
+            p += 1 + kind
+        elif kind == 0x3B:
             return p + 1 - at
-        if kind == 0x21:
-            p += 2
-        elif kind == 0x2C:
-            if p + 10 > len(b):
-                return None
+        elif kind == 0x21:
+            p, inside = p + 2, True
+        elif kind == 0x2C and p + 10 <= len(b):
             local = b[p + 9]
-            p += 11 + (3 << (local & 7) + 1 if local & 0x80 else 0)
+            p, inside = p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0), True
         else:
-            return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
+            break
+    walks.fail("gif", seen)
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, walks: Walks) -> int | None:
     """File size, pixel offset and header size agree with one another."""
     if at + 26 > len(b):
         return None
@@ -112,10 +170,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if fits else None
 
 
-PGM_HEADER = re.compile(rb"P5\s+(\d{1,9})\s+(\d{1,9})\s+(\d{1,5})\s")
-
-
-def _pgm(b: bytes, at: int) -> int | None:
+def _pgm(b: bytes, at: int, walks: Walks) -> int | None:
     """Width, height and depth; as many samples as they say."""
     m = PGM_HEADER.match(b, at)
     if m is None or not 0 < int(m[3]) < 65536 or not int(m[1]) * int(m[2]):
@@ -124,74 +179,104 @@ def _pgm(b: bytes, at: int) -> int | None:
     return n if at + n <= len(b) else None
 
 
-def _wav(b: bytes, at: int) -> int | None:
+def _wav(b: bytes, at: int, walks: Walks) -> int | None:
     """Chunks fill the declared size, with a format chunk before the data chunk."""
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    p, formatted, data = at + 12, False, False
-    while p + 8 <= end <= len(b):
+    p, formatted, data, seen = at + 12, False, False, []
+    while p + 8 <= end <= len(b) and not walks.is_dead("wav", (p, end, formatted + data)) and walks.afford(8):
+        seen.append((p, end, formatted + data))
         kind, n = struct.unpack_from("<4sI", b, p)
         formatted |= kind == b"fmt " and n >= 16
         data |= kind == b"data" and formatted
         p += 8 + n + n % 2
-    return end - at if data and p == end else None
-
-
-def _ogg(b: bytes, at: int) -> int | None:
-    """Consecutive pages up to the one that ends the stream."""
-    p = at
-    while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
-        n = b[p + 26]
-        last = b[p + 5] & 4
-        if p + 27 + n > len(b):
-            return None
-        p += 27 + n + sum(b[p + 27 : p + 27 + n])
-        if p > len(b):
-            return None
+    if data and p == end:
+        return end - at
+    walks.fail("wav", seen)
+    return None
+
+
+def _ogg(b: bytes, at: int, walks: Walks) -> int | None:
+    """Consecutive pages with valid checksums up to the one that ends the stream."""
+    p, seen = at, []
+    while p + 27 <= len(b) and not walks.is_dead("ogg", p) and b[p : p + 4] == b"OggS" and b[p + 4] == 0:
+        seen.append(p)
+        n, last, checksum = b[p + 26], b[p + 5] & 4, struct.unpack_from("<I", b, p + 22)[0]
+        end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        if p + 27 + n > len(b) or end > len(b):
+            break
+        # the checksum of Ogg is that of zlib with all bits in reverse, from zero and not inverted
+        page = (b[p : p + 22] + bytes(4) + b[p + 26 : end]).translate(REVERSED)
+        if int(f"{zlib.crc32(page, 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2) != checksum:
+            break
+        p = end
         if last:
             return p - at
+    walks.fail("ogg", [*seen, p])
     return None
 
 
-def _mp4(b: bytes, at: int) -> int | None:
-    """Boxes of known kinds with lengths that fit, a movie or data box among them."""
-    p, kinds = at, set()
-    while p + 8 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"moof", b"uuid", b"meta", b"sidx"):
+def _mp4(b: bytes, at: int, walks: Walks) -> int | None:
+    """Boxes of four printable characters each with lengths that fit, a movie, media or fragment box among them."""
+    p, seen, end, media = at, [], None, False
+    while end is None:
+        if p in walks.boxes:
+            end, media = walks.boxes[p]
             break
-        kinds.add(kind)
-        p += n
-    return p - at if b"ftyp" in kinds and kinds & {b"moov", b"mdat", b"moof"} else None
+        n, kind, head = 0, b"", 8
+        if p + 8 <= len(b):
+            n, kind = struct.unpack_from(">I4s", b, p)
+            if n == 1 and p + 16 <= len(b):
+                n, head = struct.unpack_from(">Q", b, p + 8)[0], 16
+            elif n == 0:
+                n = len(b) - p
+        if n < head or p + n > len(b) or not all(32 <= c < 127 or c == 0xA9 for c in kind):
+            end = p
+        else:
+            seen.append((p, kind))
+            p += n
+    for p, kind in reversed(seen):
+        media |= kind in (b"moov", b"mdat", b"moof")
+        walks.boxes[p] = end, media
+    return end - at if media and at in walks.boxes else None
+
 
+def _pdf(b: bytes, at: int, walks: Walks) -> int | None:
+    """Version, then the last end mark before the next file starts, with a cross-reference pointer before it.
 
-def _pdf(b: bytes, at: int) -> int | None:
-    """Version, then a cross-reference pointer before the end mark."""
-    if not re.match(rb"%PDF-\d\.\d", b[at : at + 8]):
+    Linearised files and files with updates have more than one end mark.
+    """
+    starts, pointers, ends = walks.pdf_marks
+    if (i := bisect_left(starts, at)) == len(starts) or starts[i] != at:
+        return None
+    following = starts[i + 1] if i + 1 < len(starts) else len(b)
+    if not (j := bisect_left(ends, following)) or ends[j - 1] < at:
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
+    pointer = _first_after(pointers, at)
+    return ends[j - 1] + 5 - at if pointer is not None and pointer < ends[j - 1] else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, walks: Walks) -> int | None:
     """A member that inflates to its own checksum and length."""
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    member = zlib.decompressobj(31)
+    member, whole, p, left, made = zlib.decompressobj(31), memoryview(b), at, b"", 0
     try:
-        rest, piece = memoryview(b)[at:], b""
-        while not member.eof and (rest or member.unconsumed_tail):
-            piece = member.decompress(member.unconsumed_tail or rest[: 1 << 16], 1 << 20)
-            if not member.unconsumed_tail:
-                rest = rest[1 << 16 :]
+        while not member.eof and (left or p < len(b) or made == 1 << 20):
+            if not left:
+                left = whole[p : p + (1 << 16)]
+                p += len(left)
+            made = len(member.decompress(left, 1 << 20))
+            if not walks.afford(len(left) - len(member.unconsumed_tail) + made):
+                return None
+            left = member.unconsumed_tail
     except zlib.error:
         return None
-    del piece
-    return len(b) - at - len(rest) - len(member.unused_data) if member.eof else None
+    return p - at - len(member.unused_data) if member.eof else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
+VALIDATORS: dict[str, Callable[[bytes, int, Walks], int | None]] = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "image/x-portable-graymap": _pgm,
     "audio/wav": _wav, "application/ogg": _ogg, "video/mp4": _mp4, "application/pdf": _pdf, "application/gzip": _gzip,
 }
@@ -211,29 +296,25 @@ def automaton():
 def carve(data: bytes, machine) -> list[tuple[str, int, int]]:
     """Confirmed media (type, offset, length) by offset, none within another.
 
-    A candidate inside media already confirmed is skipped, so confirmed bytes are walked once. Searches for an end
-    mark that is nowhere ahead are made once per format: a failed one is not repeated further on.
+    A candidate inside media already confirmed is skipped, so confirmed bytes are walked once; `Walks` sees to it that
+    refused ones are not walked often.
     """
     hits = sorted((end - back, kind) for end, (kind, back) in machine.iter(data.decode("latin-1")) if end >= back)
-    out, free, hopeless = [], 0, set()
+    out, free, walks = [], 0, Walks(data)
     for at, kind in hits:
-        if at < free or kind in hopeless:
-            continue
-        if kind == "application/pdf" and data.find(b"%%EOF", at) < 0 or kind == "image/jpeg" and data.find(b"\xff\xd9", at) < 0:
-            hopeless.add(kind)
-            continue
-        if (n := VALIDATORS[kind](data, at)) is not None:
+        if at >= free and (n := VALIDATORS[kind](data, at, walks)) is not None:
             out.append((kind, at, n))
             free = at + n
     return out
 
 
 def sniffed(data: bytes, declared: str | None, machine) -> tuple[str | None, list[tuple[str, int, int]]]:
-    """(type, media): the type confirmed at the start, else the declared one unless it is of a known format."""
+    """(type, media): the type confirmed at the start, else the declared one unless its magic bytes are missing."""
     media = carve(data, machine)
     if media and media[0][1] == 0:
         return media[0][0], media
-    return (None if declared in MAGIC else declared), media
+    magic, offset = MAGIC.get(declared, (b"", 0))
+    return (declared if data[offset : offset + len(magic)] == magic else None), media
 
 
 def sniff(df: DataFrame, data_col: str, type_col: str | None = None, id_col: str = "id") -> DataFrame:
@@ -306,7 +387,8 @@ def describe(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and the sniffed feature of what `store` wrote, read back from the stored bytes.
 
     ``feature`` is the corrected type with its length, then carved media within the payload (offsets into it), if
-    any: equal payloads have equal features. Null texts are stored as empty ones, 64 zero samples; repeated rows
+    any: equal payloads have equal features. Texts of any length are searched whole, in time that grows with their
+    length, but for the budget that `Walks` states. Null texts are stored as empty ones, 64 zero samples; repeated rows
     repeat, an empty table gives none, and columns beside those of `store` are dropped.
     """
     kind = stored.schema[id_col].dataType.simpleString()
