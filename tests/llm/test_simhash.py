@@ -105,3 +105,40 @@ def test_rows_stay_or_go_with_their_own_component(documents, prose):
 def test_null_ids_do_not_keep_each_other(documents, prose):
     rows = [(None, prose(1, 40), "en", "a"), *((None, prose(2, 40), "en", "a") for _ in range(5)), (7, prose(2, 40), "en", "a")]
     assert sorted((r.doc_id or 0, r.text) for r in S.deduplicate(documents(rows)).collect()) == [(0, prose(1, 40)), (7, prose(2, 40))]
+
+
+def test_hot_keys(spark, documents, prose, monkeypatch):
+    """Copies, and the centre of their star, over the bound of hot keys give what they give below it."""
+    from voxelake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    base = prose(0, 300).split()
+    rows = [(i, prose(1, 60), "en", "a") for i in range(60)] + [(100 + i, " ".join([*base[: 7 * i], "edit", *base[7 * i :]]), "en", "a") for i in range(40)] + [(None, None, None, None)] * 9
+    got = S.near_duplicates(documents(rows), hot=8).collect()
+    prints = {i: brute_fingerprint(t) for i, t, _, _ in rows if i is not None}
+    want = {(i, f"{prints[i]:016x}", root) for i, root in brute_components(prints).items()} | {(None, "0" * 16, None)}
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == want and len(got) == len(rows)
+
+
+def test_join_facts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from voxelake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3] + [None] * 20 + [4])], "k long, i long")
+    facts = spark.createDataFrame([(1, 50, "hot"), (2, 3, "cold"), (3, 1, None), (9, 0, "none")], "k long, n long, fact string")
+    out = common.join_facts(rows, facts, ["k"], "n", F.col("i"))
+    assert out.columns == ["k", "i", "fact"]
+    of = {1: "hot", 2: "cold"}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((r.k, r.i, of.get(r.k)) for r in rows.collect()), key=str)
+
+
+def test_registered_query(spark):
+    """The registered query over its whole table against fingerprints bit by bit and all pairs."""
+    from voxelake.llm.queries import op2_simhash
+
+    sf_dir = "/root/testdata/sf0.001"
+    prints = {r.doc_id: brute_fingerprint(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute_components(prints)
+    assert sorted(map(tuple, op2_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect())) == sorted((i, f"{p:016x}", want[i]) for i, p in prints.items())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch handed to Python. Whole documents travel in it, so it is far below Spark's default of 10,000.
 BATCH_ROWS = 512
@@ -25,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's spark.checkpoint.dir, or (local tests only) a new one."""
+    """The folder every executor can reach: the cluster's spark.checkpoint.dir. Only a local master, whose executors
+    are this machine, may go without it and gets a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voxelake-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -57,3 +60,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Hot keys are those of more than `HOT_ROWS` rows and of more than a `HOT_KEYS`-th of all, so `HOT_KEYS` at most.
+HOT_ROWS, HOT_KEYS = 50_000, 1000
+#: Parts over which the rows of a hot key are spread.
+SALTS = 1024
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row for each value of ``keys`` and says in ``count`` how many
+    rows have it. Both have the keys by the same names, and no other name in common.
+
+    However many rows share a key, no task gets them all. The facts of hot keys, `HOT_KEYS` rows at most whatever the
+    tables' sizes, are broadcast; rows of a hot key then go through the join of all others under salts that no fact
+    has, spread by a hash of ``spread``. ``count`` is dropped; keys are compared by equality, so null keys have no facts.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    told = [c for c in facts.columns if c not in (*keys, count)]
+    pack = lambda name: F.struct(*[F.col(c) for c in told]).alias(name)
+    named = lambda df, tag: df.select(*[F.col(k).alias(f"__{tag}_{k}") for k in keys], pack(f"__{tag}"))
+    hot, cold = named(facts.filter(F.col(count) > limit), "hot"), named(facts.filter(F.col(count) <= limit), "cold")
+    same = lambda tag: [F.col(k) == F.col(f"__{tag}_{k}") for k in keys]
+    out = rows.join(F.broadcast(hot), same("hot"), "left")
+    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    out = out.join(cold.withColumn("__no_salt", F.lit(0).cast("long")), [*same("cold"), F.col("__salt") == F.col("__no_salt")], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("__hot")[c], F.col("__cold")[c]).alias(c) for c in told])

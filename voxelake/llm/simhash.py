@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voxelake.llm.common import tune, written
+from voxelake.llm.common import join_facts, tune, written
 
 BLOCKS = 6
 #: Fingerprints of a bucket above which it is split again.
@@ -197,7 +197,7 @@ def links(distinct: DataFrame, close: int = 3, hot: int = HOT) -> DataFrame:
         counts = buckets.groupBy("tab", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         counts = written(counts, "buckets")
         # a bucket of one has no pair; the others are few
-        shared = buckets.join(counts, ["tab", "bits"])
+        shared = join_facts(buckets, counts.withColumn("rows", F.col("n")), ["tab", "bits"], "rows", F.col("fp")).filter("n is not null")
         shared = written(shared.select("fp", "tab", "bits", "n"), "shared")
         # 512 fingerprints at most are in a bucket of the third level
         small = shared if level == 3 else shared.filter(F.col("n") <= hot)
@@ -221,11 +221,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")), "least").select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least").select("a", F.least("a", "m").alias("m"), "n")
+        # the centre of a large star is a hot key
+        large = join_facts(both, least, ["a"], "n", F.col("b")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.filter("a != b").distinct(), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        joined = large.join(least, "a")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+        joined = join_facts(large, least, ["a"], "n", F.col("b"))
         small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -235,14 +236,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def named_components(prints: DataFrame, close: int, hot: int) -> DataFrame:
-    """(fp, first, root, component_id) of the distinct fingerprints of ``prints`` (id, fp): the least id that has the
-    fingerprint, and its component's least fingerprint and least id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    """(fp, first, n, root, component_id) of the distinct fingerprints of ``prints`` (id, fp): the least id that has
+    the fingerprint, the rows that have it, and its component's least fingerprint and least id."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), close, hot))
-    named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
-    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    return written(named.join(least, "root").select("fp", "first", "root", "component_id"), "of_fp")
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "components")
+    return written(join_facts(named, least, ["root"], "prints", F.col("fp")).select("fp", "first", "n", "root", "component_id"), "of_fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, close: int = 3, hot: int = HOT) -> DataFrame:
@@ -254,9 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows share fingerprint and component. An empty table gives an empty result; other columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, words), "prints")
-    of_fp = named_components(prints, close, hot).select(F.col("fp").alias("fp_"), "component_id")
-    # the table of distinct fingerprints is joined by fingerprint; a group of equal ones is a skewed key on the side of the rows
-    out = prints.join(of_fp, F.col("fp") == F.col("fp_"))
+    # a group of copies is a hot key on the side of the rows
+    out = join_facts(prints, named_components(prints, close, hot).select("fp", "n", "component_id"), ["fp"], "n", F.col("id"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
