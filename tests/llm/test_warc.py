@@ -2,7 +2,9 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxelake.llm import common, warc as W
@@ -49,14 +51,26 @@ def test_members_are_plain_gzip_and_filters_skip(spark):
     df = spark.read.format("warc").load(path)
     assert df.filter("record_type = 'revisit'").count() == 45 and df.filter("target_uri like 'http://a/%'").count() == 25
     assert df.filter("record_type in ('response')").select("payload").collect()[0][0] is not None
-    # every test is pushed down: the reader refuses before it inflates
-    reader = W.WarcReader({"path": path, "payload": "full"})
-    from pyspark.sql.datasource import EqualTo, GreaterThan
-
-    kept = list(reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("payload_length",), 1)]))
-    assert len(kept) == 1 and len(reader.tests) == 1
+    # a DataFrame that was filtered once reads all of its records the next time, and two filters do not mix
+    assert df.count() == 50 and df.filter("record_type = 'response'").unionByName(df.filter("record_type = 'revisit'")).count() == 50
+    assert df.count() == 50
+    # every predicate of a scan is tested on the headers: the reader refuses before it inflates
+    where = [("eq", "record_type", "response"), ("starts", "target_uri", "http://"), ("in", "record_id", [f"urn:page:{i}" for i in range(50)])]
+    assert W.scan(spark, path, where=where).count() == 5 and W.scan(spark, path, where=[("starts", "refers_to", "urn:page:0")]).count() == 9
+    reader = W.WarcReader({"path": path, "payload": "full", "where": json.dumps(where)})
     read = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert len(read) == 5 and all(r["payload"] for r in read)
+    with pytest.raises(ValueError):
+        W.WarcReader({"path": path, "where": json.dumps([("eq", "payload", "x")])})
+
+
+def test_other_ids_and_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(f"p{i:03d}", "u", "" if i % 3 else f"own {i}") for i in range(300)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = W.archive(df).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id != "p001" and r.payload_bytes == 0} == {(i, "revisit", "p001") for i, _, h in rows if not h and i != "p001"}
+    assert len(got) == 301 and sum(r.record_type == "response" for r in got) == 101
 
 
 def test_foreign_archives(spark, tmp_path):
@@ -71,8 +85,13 @@ def test_foreign_archives(spark, tmp_path):
 
 
 def test_cut_records_are_errors():
-    import pytest
-
     data = W.gzip_member(W.build_record({"record_type": "response", "record_id": "x", "target_uri": None, "warc_date": "d", "payload": b"abc" * 99, "refers_to": None}))
     with pytest.raises(EOFError):
         list(W.records(W._Gzip(io.BytesIO(data[:-60]), 0, len(data) - 60), lambda r: True, "full"))
+
+
+def test_a_split_archive_is_read_twice_alike(spark, monkeypatch):
+    monkeypatch.setattr(W, "SPLIT_BYTES", 200)
+    path = common.new_path(spark, "warc-test")
+    W.write_pages(pages(spark, [(i, None, f"{i % 9}") for i in range(80)]), path)
+    assert sorted(W.read_pages(spark, path).collect()) == sorted(W.read_pages(spark, path).collect()) and W.read_pages(spark, path).count() == 80

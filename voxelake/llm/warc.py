@@ -9,7 +9,10 @@ parses the WARC headers of a record first and tests the pushed predicates on the
 seeking over the member, or over ``Content-Length`` in an uncompressed archive, without inflating it.
 
 Options of reading: ``payload`` is ``full`` (bytes), ``digest`` (length and digest from the bytes, which stay in the
-worker) or ``skip`` (header values only). Equality, IN and prefix filters on header columns are pushed down.
+worker) or ``skip`` (header values only). ``where`` holds the pushed predicates on record type and headers, which
+`scan` writes: equality, membership and prefix. They belong to one load. Spark keeps what a Python reader's own
+``pushFilters`` records with the loaded relation, and would use it in later plans of the same DataFrame that have no
+filter, or another one, so this reader has none: filters on a DataFrame are applied to the rows that it reads.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from voxelake.llm.common import new_path, written
+from voxelake.llm.common import join_facts, new_path, written
 
 MANIFEST = "_files.json"
 SPLIT_BYTES = 16 << 20
@@ -46,6 +49,7 @@ HEADERS = {
     "payload_length": "X-Payload-Length",
     "refers_to": "WARC-Refers-To",
 }
+TESTS = {"eq": str.__eq__, "in": lambda own, values: own in values, "starts": str.startswith}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -249,15 +253,9 @@ class Written(WriterCommitMessage):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.payload, self.tests = options["path"].rstrip("/"), options.get("payload", "full"), []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS and f.attribute[0] != "payload_length":
-                kind = "eq" if isinstance(f, EqualTo) else "in" if isinstance(f, In) else "starts"
-                self.tests.append((kind, f.attribute[0], f.value))
-            else:
-                yield f
+        self.path, self.payload, self.tests = options["path"].rstrip("/"), options.get("payload", "full"), json.loads(options.get("where", "[]"))
+        if odd := [t for t in self.tests if t[0] not in TESTS or t[1] not in HEADERS or t[1] == "payload_length"]:
+            raise ValueError(f"no predicate on a header column: {odd}")
 
     def partitions(self):
         from pyarrow import fs
@@ -272,11 +270,7 @@ class WarcReader(DataSourceReader):
         return [Split(f"{self.path}/{x.base_name}", 0, x.size) for x in infos if x.base_name.endswith((".warc", ".warc.gz"))]
 
     def wanted(self, row: dict) -> bool:
-        for kind, column, value in self.tests:
-            own = row[column]
-            if own is None or not (own == value if kind == "eq" else own in value if kind == "in" else own.startswith(value)):
-                return False
-        return True
+        return all(row[column] is not None and TESTS[kind](row[column], value) for kind, column, value in self.tests)
 
     def read(self, partition):
         if partition is None:  # an archive without a file
@@ -355,17 +349,26 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
+def scan(spark: SparkSession, path: str, payload: str = "full", where: Iterable[tuple] = ()) -> DataFrame:
+    """The records of an archive that meet all of ``where``: ("eq", column, value), ("in", column, values) or
+    ("starts", column, prefix) on a header column, which a null never meets. They are tested on the parsed headers,
+    before the payload is decoded."""
+    register(spark)
+    return spark.read.format("warc").option("payload", payload).option("where", json.dumps([list(t) for t in where])).load(path)
+
+
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archive every row: the payload is the html in UTF-8, null as empty.
 
     Of rows with equal payloads of ``least`` bytes or more, those with the smallest id are responses (more than one
     only if rows repeat an id) and the others revisit it; a null id never is the smallest, and rows of a payload
     that only null ids have are all responses. Digests of payloads that occur once are not carried on; the table of
-    the others is joined by digest, broadcast by Spark only below its size threshold.
+    the others is joined by digest, so that no task gets all rows of a frequent one (`join_facts`). Null urls have no
+    target header, texts of any length are one record each, and other columns are ignored. An empty table gives an
+    archive without a file.
     """
     register(pages.sparkSession)
     body = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
@@ -373,8 +376,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     digest = F.when(F.octet_length("__body") >= least, F.sha1("__body"))
     groups = rows.select(digest.alias("__digest"), "__id").filter("__digest is not null").groupBy("__digest")
     groups = groups.agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1 and __first is not null")
-    groups = written(groups.select("__digest", "__first"), "digests")
-    rows = rows.withColumn("__key", digest).join(groups, F.col("__key") == F.col("__digest"), "left")
+    groups = written(groups.select("__digest", "__first", "__n"), "digests")
+    rows = join_facts(rows.withColumn("__digest", digest), groups, ["__digest"], "__n", F.struct("__id", "__url"))
     revisit = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     out = rows.select(
@@ -390,22 +393,23 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     out.write.format("warc").mode("append").save(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive that `write_pages` wrote.
 
     Responses are read with their payloads, whose length and digest are taken anew; of revisits only headers are read.
+    Ids are of the type that ``id_type`` names and null if they were; one that is not of it is an error.
     """
-    register(spark)
-    number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
+    own = lambda c: F.expr(f"cast(nullif(substring({c}, 10), '') as {id_type})")
     parts = []
     for kind, payload in (("response", "digest"), ("revisit", "skip")):
-        df = spark.read.format("warc").option("payload", payload).load(path).filter(F.col("record_type") == kind)
-        parts.append(df.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to")))
+        df = scan(spark, path, payload, [("eq", "record_type", kind)])
+        parts.append(df.select(own("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", own("refers_to").alias("refers_to")))
     return parts[0].unionByName(parts[1])
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write all pages to a new archive in the shared folder and read it back: `read_pages` of `write_pages`."""
+    """Write all pages to a new archive in the shared folder and read it back: `read_pages` of `write_pages`, whose
+    docstrings say what becomes of nulls, ties, repeated rows and empty tables. Every row of ``pages`` is a row."""
     path = new_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    return read_pages(pages.sparkSession, path)
+    return read_pages(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())
