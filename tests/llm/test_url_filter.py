@@ -44,6 +44,19 @@ def test_lists_tables_and_bounds(spark, monkeypatch):
     want = [(None, "allow"), (1, "block"), (2, "allow")]
     verdicts = lambda: sorted(((r.page_id, r.verdict) for r in U.filter_urls(rows, [], listed).collect()), key=str)
     assert verdicts() == sorted(want, key=str)
-    monkeypatch.setattr(U, "MAX_FILTER_BITS", 1)
+    monkeypatch.setattr(U, "MAX_FILTER_BITS", 12)
     assert verdicts() == sorted(want, key=str)
     assert U.filter_urls(rows.limit(0), RULES, listed).collect() == []
+
+
+def test_shards_are_exact(spark, monkeypatch):
+    """A universe beyond the bound is judged by several cascades, each within it."""
+    monkeypatch.setattr(U, "MAX_FILTER_BITS", 700)
+    urls = [f"https://h{i % 300}.net/" for i in range(900)] + ["https://hot.net/"] * 400 + [None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = lambda host: F.substring(F.md5(host), 1, 1).isin("0", "1", "2", "3", "4")
+    keys = rows.select(U.host_of(F.col("url")).alias("key")).distinct().select("key", listed(F.col("key")).alias("listed"))
+    assert len(U.build_cascades(keys)) > 1
+    got = {r.page_id: r.verdict for r in U.filter_urls(rows, [], listed).collect()}
+    host = lambda u: u.split("/")[2] if u else ""
+    assert got == {i: "block" if hashlib.md5(host(u).encode()).hexdigest()[0] in "01234" else "allow" for i, u in enumerate(urls)}

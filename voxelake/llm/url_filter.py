@@ -6,12 +6,14 @@ lets through, and so on until a level lets nothing wrong through. As the levels
 key universe of the corpus, membership is exact, and a row is judged by bit tests alone, without a join.
 
 Sizes. Keys are distinct hosts, which grow far slower than rows. A level has ``bits_per_key`` bits for each key
-it encodes; `MAX_FILTER_BITS` bounds what is sent to the tasks. Where the listed keys would pass that bound,
-`listed_column` marks the rows by a shuffled left join instead, so nothing unbounded is ever broadcast.
+it encodes; `MAX_FILTER_BITS` bounds what is sent to a task. A universe that needs more is cut by a hash of the key
+into shards that each have a cascade within the bound; the rows of each shard are then judged in a pass of their own,
+so nothing unbounded is ever broadcast and no row is shuffled, whatever share of them one host has.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -113,7 +115,8 @@ def _level(keys: DataFrame, count: int, number: int, bits_per_key: int, hashes:
 def build_cascade(universe: DataFrame, bits_per_key: int = 10, hashes: int = 6, max_levels: int = 40) -> Cascade | None:
     """The cascade of ``universe`` (key string, listed boolean; a row per key), or None past `MAX_FILTER_BITS`.
 
-    An empty universe or no listed key gives a cascade of no level, which contains nothing.
+    An empty universe or no listed key gives a cascade of no level, which contains nothing. Raises if ``max_levels``
+    do not make it exact, which is a matter of too few bits a key: each level lets about a hundredth through.
     """
     universe = written(universe, "keys")
     mine, other = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
@@ -131,6 +134,26 @@ def build_cascade(universe: DataFrame, bits_per_key: int = 10, hashes: int = 6,
     return Cascade(levels)
 
 
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+
+
+def build_cascades(universe: DataFrame, bits_per_key: int = 10, hashes: int = 6) -> list[Cascade]:
+    """One cascade for each shard of `shard_of`, as many as keep each within `MAX_FILTER_BITS`."""
+    listed, others = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    # deeper levels encode about a hundredth of the other keys, then of these
+    shards = max(1, math.ceil((listed * 1.1 + others * 0.02) * bits_per_key / MAX_FILTER_BITS))
+    while True:
+        found = []
+        for i in range(shards):
+            found.append(build_cascade(universe.filter(shard_of(F.col("key"), shards) == i), bits_per_key, hashes))
+            if found[-1] is None:
+                break
+        else:
+            return found
+        shards *= 2
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], listed, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every url: (``id_col``, host, path, rule, verdict).
 
@@ -147,22 +170,19 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed, id_col: str = "page
         universe = universe.select("key", F.coalesce("__in", F.lit(False)).alias("listed"))
     else:
         universe = hosts.select("key", F.coalesce(listed(F.col("key")), F.lit(False)).alias("listed"))
-    universe = written(universe, "universe")
-    cascade = build_cascade(universe)
+    cascades = build_cascades(written(universe, "universe"))
     judged = parts.select(id_col, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
     host, path = F.col("host"), F.col("path")
-    if cascade is None:
-        marked = universe.filter("listed").select(F.col("key").alias("__key"))
-        judged = judged.join(marked, host == F.col("__key"), "left")
-        member = F.col("__key").isNotNull()
-    else:
-        member = cascade.contains(host)
-    return judged.select(
-        id_col,
-        "host",
-        "path",
-        longest_rule(rules, host, path, lambda r: r.name).alias("rule"),
-        F.coalesce(
-            longest_rule(rules, host, path, lambda r: r.verdict), F.when(member, F.lit("block")).otherwise(F.lit("allow"))
-        ).alias("verdict"),
-    )
+    out = None
+    for i, cascade in enumerate(cascades):
+        mine = judged.filter(shard_of(host, len(cascades)) == i) if len(cascades) > 1 else judged
+        by_list = F.when(cascade.contains(host), F.lit("block")).otherwise(F.lit("allow"))
+        mine = mine.select(
+            id_col,
+            "host",
+            "path",
+            longest_rule(rules, host, path, lambda r: r.name).alias("rule"),
+            F.coalesce(longest_rule(rules, host, path, lambda r: r.verdict), by_list).alias("verdict"),
+        )
+        out = mine if out is None else out.unionByName(mine)
+    return out
