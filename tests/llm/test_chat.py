@@ -20,15 +20,19 @@ def table(spark, rows):
 
 
 def test_read_back(spark):
-    rows = [(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY), (7, None, None, None), (7, 2, "assistant", None), (7, 1, "assistant", "one"), (7, 1, "assistant", "one"), (8, 0, "system", "x" * 300_000), (None, 0, "user", "lost")]
+    rows = [(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY), (7, None, None, None), (7, 2, "assistant", None), (7, 1, "assistant", "one"), (7, 1, "assistant", "one"), (8, 0, "system", "x" * 300_000), (None, 0, "user", "lost"), (None, 0, "user", "lost"), (None, 1, "assistant", "alone")]
     rows += [(100 + i, t, ("user", "assistant")[t % 2], "hello" if t == 0 else f"{i % 5}-{t}") for i in range(60) for t in range(1 + i % 4)]
-    conversations = {}
-    for c, t, r, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+    conversations, alone = {}, sorted((r, x) for c, t, r, x in rows if c is None)
+    for c, t, r, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         conversations.setdefault(c, []).append((r or "", x or ""))
     for size in (1, 500, C.PACK_CHARS):
         got = C.read_back(C.format_conversations(table(spark, rows), pack_chars=size)).collect()
-        assert len(got) == len(conversations)
+        assert len(got) == len(conversations) + len(alone)
+        # each row without an id is a conversation of its own
+        assert sorted((r.n_turns, r.loss_chars) for r in got if r.conv_id is None) == [(1, 0), (1, 0), (1, 5)]
         for r in got:
+            if r.conv_id is None:
+                continue
             said = conversations[r.conv_id]
             loss = "".join(x for role, x in said if role == "assistant")
             assert r.n_turns == len(said) and r.loss_chars == len(loss)

@@ -111,14 +111,16 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     """Packs (tokens string, nodes array, convs array<struct<conv_id, node>>) of all conversations.
 
     A conversation's rows are ordered by turn (null first), then role, then text; repeated rows are turns of their
-    own, null roles and texts are empty, and rows without an id form a conversation of their own. An empty table
+    own, null roles and texts are empty, and each row without an id is a conversation of its own. An empty table
     gives no pack. Other columns are ignored. A turn is never cut, so a pack can exceed ``pack_chars`` by a conversation.
     """
     tune(rows.sparkSession)
     kind = rows.schema[conv_col].dataType
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turns = rows.select(F.col(conv_col).alias("__conv"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("__turn"))
-    turns = turns.groupBy("__conv").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
+    # rows without an id have nothing that ties them together; any number of them is no group
+    turns = turns.withColumn("__alone", F.when(F.col("__conv").isNull(), F.monotonically_increasing_id()))
+    turns = turns.groupBy("__conv", "__alone").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
     turns = turns.withColumn("__path", F.transform("__turns", lambda t: F.xxhash64(t.role, t.text)))
     turns = turns.repartitionByRange("__path", "__conv").sortWithinPartitions("__path", "__conv").select("__conv", "__turns")
     arrow = pa.list_(pa.struct([("conv_id", _arrow_type(kind)), ("node", pa.int32())]))

@@ -86,7 +86,7 @@ SELECT conv_id,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        -- each turn: <|im_start|> role newline text <|im_end|> newline; a backslash more for every control opening
        sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 10 + 1)::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM c) GROUP BY conv_id, alone
 """
 
 
