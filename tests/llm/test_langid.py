@@ -56,3 +56,74 @@ def test_pipeline_stage_keeps_clean(documents):
     df = documents(rows)
     kept = L.keep_identified(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - {9000, 9002}
+
+
+def test_pipeline_stage_acts_on_what_the_model_tells(documents):
+    """Labels become predictions, and texts below the least score go."""
+    rows = rows_of(40)
+    wrong = [(i, t, "de" if i == 7 else None if i == 1009 else lang, s) for i, t, lang, s in rows]
+    told = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(documents(wrong)).collect()}
+    kept = {r.doc_id: r.lang for r in L.keep_identified(documents(wrong)).collect()}
+    assert kept == {i: lang for i, (lang, score) in told.items() if score >= L.MIN_SCORE} and kept[1009] == "de"
+    least = sorted(score for _, score in told.values())[5]
+    assert set(r.doc_id for r in L.keep_identified(documents(wrong), least=least).collect()) == {i for i, (_, score) in told.items() if score >= least}
+
+
+def test_pipeline_stage_without_labels(documents):
+    rows = [(i, t, None, s) for i, t, _, s in rows_of(5)] + [(9000, None, None, "s"), (9001, "12 34", None, "s"), (9002, "", None, "s"), (None, "a letter", None, None)]
+    df = documents(rows)
+    assert sorted(map(str, L.keep_identified(df).collect())) == sorted(map(str, df.filter("doc_id is null or doc_id < 9000").collect()))
+    assert L.keep_identified(df.drop("lang")).count() == 21 and L.keep_identified(df.limit(0)).count() == 0
+
+
+def test_languages_are_bounded(documents, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rows = rows_of(20) + [(9000 + i, t, "en", "s") for i, (_, t, lang, _) in enumerate(rows_of(40)) if lang == "en"] + [(9500 + i, t, "de", "s") for i, (_, t, lang, _) in enumerate(rows_of(40)) if lang == "de"]
+    assert {r.lang_pred for r in L.identify(documents(rows)).collect()} == {"en", "de"}
+
+
+def naive_features(text):
+    """Hashed 1- to 3-grams, counted one by one."""
+    letters = [ord(c) if c.isalpha() and ord(c) < 1 << 16 else 32 for c in text.lower()]
+    mask, out = (1 << 32) - 1, []
+    for n, bins, shift in ((1, 256, 24), (2, 2048, 21), (3, 4096, 20)):
+        counts = [0.0] * bins
+        for i in range(len(letters) - n + 1):
+            h = letters[i] * 2654435761 & mask
+            if n > 1:
+                h = (h ^ (letters[i + 1] * 2246822519 & mask)) * 3266489917 & mask
+            if n > 2:
+                h = (h ^ (letters[i + 2] * 668265263 & mask)) * 374761393 & mask
+            counts[h >> shift] += 1
+        out += [(c / max(1, len(letters) - n + 1)) ** 0.5 for c in counts]
+    return out
+
+
+def test_registered_query(spark):
+    """The registered query over its whole table: its folds, its decisions by votes counted one by one, and its
+    accuracy on the held-out fold."""
+    from voxelake.llm.queries import op7_langid
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, got = docs.collect(), {r.doc_id: r for r in op7_langid(spark, sf_dir).collect()}
+    model = L.train(docs.filter(~L.held_out()))
+    right = total = 0
+    for r in rows:
+        out = got[r.doc_id]
+        assert out.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (out.lang_pred, out.score) == ("und", 0.0)
+            continue
+        x, names, machines = naive_features(r.text), sorted(model.families), model.family_machines
+        for _ in range(2):
+            ranked = []
+            for name in names:
+                margins = [sum(w * v for w, v in zip(m, x)) + m[-1] for m in ([*map(float, s)] if a == name else [-float(v) for v in s] for (a, b), s in machines.items() if name in (a, b) and {a, b} <= set(names))]  # noqa: B905
+                ranked.append((-sum(m > 0 for m in margins), -sum(margins), name))
+            chosen, machines = min(ranked)[2], model.language_machines
+            names = model.families.get(chosen, [chosen])
+        assert out.lang_pred == chosen
+        if out.held_out and r.lang is not None:
+            total, right = total + 1, right + (out.lang_pred == r.lang)
+    assert len(got) == len(rows) and total > 20 and right / total >= 0.95
