@@ -63,3 +63,29 @@ def test_columns(documents, library):
     ids = {r.doc_id: r.ids for r in B.encode(df).collect()}
     assert ids == {1: library.encode("hello there").ids, 2: []}
     assert {r.doc_id: r.text for r in B.decode(B.encode(df)).collect()} == {1: "hello there", 2: ""}
+
+
+def test_files_of_other_kinds_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    B.check_kind(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"type": "Unigram"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        (tmp_path / "x.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            B.PairIndexTokenizer(str(tmp_path / "x.json"))
+
+
+def test_registered_query(spark, library):
+    """The registered query over its whole table against the library."""
+    from voxelake.llm.queries import op10_bpe
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op10_bpe(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())

@@ -48,6 +48,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def check_kind(spec: dict) -> None:
+    """Raise for a tokenizer file that asks for anything but byte-level BPE with `PATTERN`."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["model type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * (spec.get("normalizer") is not None)
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if (spec.get("decoder") or {}).get("type", "ByteLevel") != "ByteLevel":
+        odd.append("decoder")
+    odd += [f"added token {t['content']!r}" for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError("no byte-level BPE of the known kind: " + ", ".join(odd))
+
+
 class _PairIndex:
     """Positions of every mergeable pair, by rank, over linked lists of symbols; `run` applies all merges.
 
@@ -152,6 +166,7 @@ class PairIndexTokenizer:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check_kind(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.first_ids = np.array([vocab[c] for c in letters], np.int64)
