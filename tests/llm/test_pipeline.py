@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from voxelake.llm import bpe, mixing, secret_scan
+from voxelake.llm import bpe, langid, mixing, secret_scan
 from voxelake.llm.queries import llm_catalogue
 
 from test_simhash import brute_components, brute_fingerprint
@@ -28,6 +28,8 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
     language, dedup, secret, mix, tokens = inputs
     assert set(dedup) == {i for i, r in language.items() if r.text and any(map(str.isalpha, r.text))}
+    told = {r.doc_id: r.lang_pred for r in langid.identify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert all(r.lang == told[i] for i, r in dedup.items())
     roots = brute_components({i: brute_fingerprint(r.text) for i, r in dedup.items()})
     assert set(secret) == {i for i, root in roots.items() if i == root}
     assert set(mix) == set(secret)
@@ -58,6 +60,28 @@ def test_clean(spark):
     assert not os.path.isdir(folder)
 
 
+def test_a_run_leaves_only_the_tables_of_its_stages(spark, documents, prose, tmp_path):
+    from voxelake.llm import common
+
+    documents([(i, prose(i, 30), "en" if i % 2 else "de", "ab"[i % 2]) for i in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    common.clean(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._PATHS) == sorted(n for n, _ in corpus_pipeline.STAGES[:-1])
+    assert out.count() > 0
+    common.clean(spark)
+
+
+def test_shared_folder_is_asked_for(spark):
+    """Off a local master nothing is written to a folder of one machine."""
+    from types import SimpleNamespace
+
+    from voxelake.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(cluster)
+
+
 def test_one_query_per_operator():
     names = list(llm_catalogue())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names

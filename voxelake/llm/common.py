@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,7 +16,10 @@ BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for whole long texts; changes no result."""
+    """Keep Arrow batches small enough for whole long texts; changes no result.
+
+    Results are lazy and read these settings when they run, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -46,13 +51,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _PATHS[-1]
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        _PATHS.remove(path)
+        path = hadoop.Path(path)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what operators wrote to the shared folder. Results that were not yet stored read those tables, so call
     it when they have been."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    while _PATHS:
-        path = hadoop.Path(_PATHS.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, list(_PATHS))
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Delete on leaving the tables written within, but those of the labels in ``keep``, which what follows reads."""
+    before = len(_PATHS)
+    yield
+    _delete(spark, [p for p in _PATHS[before:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep])
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -27,7 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelake.llm.common import written
+from voxelake.llm.common import scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 512
@@ -129,15 +129,16 @@ def copies_by_key(
         (word_count(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))).alias("__size"),
         *([] if tilt is None else [tilt.cast("double").alias("__tilt")]),
     )
-    # the texts are scanned once; all that follows reads this narrow table
-    sized = written(sized if tilt is not None else sized.withColumn("__tilt", size_tilt(F.col("__size"))), "sizes")
-    cells = written(sized.groupBy("__source", "__tilt").agg(F.sum("__size").alias("__mass"), F.count("*").alias("__n")), "masses")
-    sources = cells.groupBy("__source").agg(F.sum("__mass").alias("__words"), F.sum("__n").alias("__rows"))
-    sources = written(source_targets(sources, weights, share, cap), "targets")
-    dual = balance(cells, sources.select("__source", "target"), cap)
-    named = sources.select(F.col("__source").alias("__name"), "__words", "__rows", "target")
-    sources = named.join(dual, named["__name"].eqNullSafe(dual["__source"])).select("__name", "__words", "__rows", "target", "__lambda")
-    sources = written(sources, "sources")
+    with scratch(docs.sparkSession, "sizes", "sources"):
+        # the texts are scanned once; all that follows reads this narrow table
+        sized = written(sized if tilt is not None else sized.withColumn("__tilt", size_tilt(F.col("__size"))), "sizes")
+        cells = written(sized.groupBy("__source", "__tilt").agg(F.sum("__size").alias("__mass"), F.count("*").alias("__n")), "masses")
+        sources = cells.groupBy("__source").agg(F.sum("__mass").alias("__words"), F.sum("__n").alias("__rows"))
+        sources = written(source_targets(sources, weights, share, cap), "targets")
+        dual = balance(cells, sources.select("__source", "target"), cap)
+        named = sources.select(F.col("__source").alias("__name"), "__words", "__rows", "target")
+        sources = named.join(dual, named["__name"].eqNullSafe(dual["__source"])).select("__name", "__words", "__rows", "target", "__lambda")
+        sources = written(sources, "sources")
     rows = sized.groupBy("__source", "__id", "__size", "__tilt").agg(F.count("*").alias("__times"))
     # a row a source: Spark broadcasts it only below its size threshold, else joins by shuffle and splits skew
     rows = rows.join(sources, F.col("__source").eqNullSafe(F.col("__name")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from voxelake.llm.common import join_facts, tune, written
+from voxelake.llm.common import join_facts, scratch, tune, written
 
 BLOCKS = 6
 #: Fingerprints of a bucket above which it is split again.
@@ -238,12 +238,13 @@ def components(edges: DataFrame) -> DataFrame:
 def named_components(prints: DataFrame, close: int, hot: int) -> DataFrame:
     """(fp, first, n, root, component_id) of the distinct fingerprints of ``prints`` (id, fp): the least id that has
     the fingerprint, the rows that have it, and its component's least fingerprint and least id."""
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), close, hot))
-    named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    least = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "components")
-    return written(join_facts(named, least, ["root"], "prints", F.col("fp")).select("fp", "first", "n", "root", "component_id"), "of_fp")
+    with scratch(prints.sparkSession, "of_fp"):
+        distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
+        roots = components(links(distinct.select("fp"), close, hot))
+        named = distinct.join(roots, distinct.fp == roots.a, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+        named = written(named, "named")
+        least = written(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")), "components")
+        return written(join_facts(named, least, ["root"], "prints", F.col("fp")).select("fp", "first", "n", "root", "component_id"), "of_fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, close: int = 3, hot: int = HOT) -> DataFrame:
