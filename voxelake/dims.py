@@ -191,6 +191,7 @@ TRANSFER_SYNTAXES = [
 
 NATIVE_SYNTAXES = [u for u, _, _, _, encapsulated in TRANSFER_SYNTAXES if not encapsulated]
 EXPLICIT_LITTLE = "1.2.840.10008.1.2.1"
+NATIVE_CODECS = [("native-uncompressed", 0, uid, True, True) for uid in NATIVE_SYNTAXES]
 
 # fixed values: SOP classes
 SOP_TEXT = """
@@ -288,8 +289,7 @@ def dim_transfer_syntaxes(spark: SparkSession) -> DataFrame:
 
 def dim_codecs(spark: SparkSession, more: list[tuple] = ()) -> DataFrame:
     """(name, priority, syntax_uid, can_decode, can_encode); ``more`` rows of other codecs follow the native one."""
-    native = [("native-uncompressed", 0, uid, True, True) for uid in NATIVE_SYNTAXES]
-    return spark.createDataFrame(native + list(more), "codec_name string, priority int, syntax_uid string, can_decode boolean, can_encode boolean")
+    return spark.createDataFrame(NATIVE_CODECS + list(more), "codec_name string, priority int, syntax_uid string, can_decode boolean, can_encode boolean")
 
 
 def dim_iod(spark: SparkSession) -> DataFrame:

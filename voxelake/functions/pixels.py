@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from voxelake.dims import SAMPLES
+from voxelake.dims import SAMPLES, TAG_OF
 from voxelake.functions.tags import lookup
 
-# fixed values: the allowed BitsAllocated, and the fields that must be positive, in the order they are checked
+# fixed values: the message texts below, the allowed BitsAllocated, and the fields that must be positive, in the order they are checked
 BITS_ALLOCATED = (1, 8, 16, 32, 64)
 POSITIVE = ("Rows", "Columns", "SamplesPerPixel", "BitsAllocated", "BitsStored", "NumberOfFrames")
 
@@ -36,7 +36,20 @@ def first_value(value: Column) -> Column:
 
 def integer(value: Column) -> Column:
     """An integer from text or number: no fraction in text, numbers are truncated; null if it is none."""
-    return F.expr("null") if value is None else F.when(F.trim(value.cast("string")).rlike(r"^[+-]?[0-9]+$"), F.trim(value.cast("string")).try_cast("long"))
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))
+
+
+def number(value: Column) -> Column:
+    """The first value of an attribute as a double; null if it is none."""
+    return F.trim(first_value(value.cast("string"))).try_cast("double")
+
+
+def dataset_number(ds: Column, keyword: str, default: float) -> Column:
+    """A number of a dataset: the default where it is absent or null, an error where it is no number."""
+    raw = F.try_element_at(ds, F.lit(TAG_OF[keyword]))
+    bad = F.raise_error(F.concat(F.lit(f"{keyword} must be a number, got '"), raw, F.lit("'.")))
+    return F.when(raw.isNull(), F.lit(default)).when(number(raw).isNotNull(), number(raw)).otherwise(bad.cast("double"))
 
 
 def metadata_errors(m: dict[str, Column]) -> Column:
@@ -98,6 +111,11 @@ def rescale_preview(values: Column, slope: Column, intercept: Column) -> Column:
     return rescale_array(values, F.when(F.coalesce(slope, F.lit(0.0)) == 0, 1.0).otherwise(slope), F.coalesce(intercept, F.lit(0.0)))
 
 
+def rescale_from_dataset(value: Column, ds: Column) -> Column:
+    """`rescale` by the dataset's slope and intercept, 1 and 0 where it has none; a slope of zero counts."""
+    return rescale(value, dataset_number(ds, "RescaleSlope", 1.0), dataset_number(ds, "RescaleIntercept", 0.0))
+
+
 def voi_bounds(center: Column, width: Column) -> Column:
     """struct(lower, upper) of a window; null for a width that is not positive."""
     half = (width - 1) / 2
@@ -111,6 +129,26 @@ def voi_window(value: Column, center: Column, width: Column, low: float = 0.0, h
     return F.when(width > 0, F.when(value <= bounds["lower"], F.lit(low)).when(value > bounds["upper"], F.lit(high)).otherwise(inside))
 
 
+def voi_window_from_dataset(value: Column, ds: Column) -> Column:
+    """`voi_window` by the dataset's first center and width, 0 and 1 where it has none."""
+    return voi_window(value, dataset_number(ds, "WindowCenter", 0.0), dataset_number(ds, "WindowWidth", 1.0))
+
+
+def lut_of_descriptor(descriptor: Column, table: Column) -> Column:
+    """struct(first, bits, table) of a lookup table whose descriptor is (entries, first value, bits an entry): zero
+    entries are 65,536. An error if the descriptor has not three values, the entries differ or there are no bits."""
+    entries = F.try_element_at(descriptor, F.lit(1)).cast("int")
+    entries = F.when(entries == 0, 65536).otherwise(entries)
+    bits = F.try_element_at(descriptor, F.lit(3)).cast("int")
+    problem = (
+        F.when(F.size(descriptor) != 3, F.lit("VOI LUT descriptor must contain exactly three values."))
+        .when(entries != F.size(table), F.concat(F.lit("VOI LUT descriptor declares "), entries.cast("string"), F.lit(" entries, got "), F.size(table).cast("string"), F.lit(".")))
+        .when(bits <= 0, F.concat(F.lit("VOI LUT bits per entry must be positive, got "), bits.cast("string"), F.lit(".")))
+    )
+    made = F.struct(F.try_element_at(descriptor, F.lit(2)).cast("long").alias("first"), bits.alias("bits"), table.alias("table"))
+    return F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(made)
+
+
 def voi_lut(value: Column, first: Column, table: Column) -> Column:
     """The table's entry for a value, truncated and clamped to its ends."""
     at = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("long") - first

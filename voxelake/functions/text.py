@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from voxelake.dims import CHARSETS, PREFERRED_CHARSET
+from voxelake.dims import CHARSETS, PREFERRED_CHARSET, TAG_OF
 from voxelake.functions.tags import lookup
 
 
@@ -22,6 +22,11 @@ def normalize_charset(value: Column) -> Column:
     return F.when(value.isNull() | (F.size(terms) == 0), default).otherwise(terms)
 
 
+def dataset_charset(ds: Column) -> Column:
+    """The terms that a dataset declares, the default repertoire if it declares none."""
+    return normalize_charset(F.try_element_at(ds, F.lit(TAG_OF["SpecificCharacterSet"])))
+
+
 def charset_codecs(value: Column) -> Column:
     """Codecs of a character set in the order they are tried, null if a term is unknown. With code extensions
     (ISO 2022) ASCII comes last."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxelake.dims import TAG_OF
@@ -26,18 +29,42 @@ def named_attributes(ds: Column) -> list[Column]:
 
 
 def anonymize_files(spark: SparkSession, source: str, target: str, plan: Plan | None = None) -> DataFrame:
-    """Read all files under ``source``, apply the plan at every level, write what could be read to ``target``.
+    """Read all files under ``source``, apply the plan at every level, write what can be written to ``target``.
 
-    Returns (path, name, ok, error, shared_name): a row per input file. ``shared_name`` tells base names that several
-    inputs have; outputs have names of their own, so none overwrites another. One bad file fails alone.
+    Returns (path, name, ok, error, written, shared_name): a row per input file. ``ok`` says that ``written`` is there,
+    else ``error`` says why it could not be read or encoded: one bad file fails alone. ``shared_name`` tells base names
+    that several inputs have; outputs are named by a hash of their input's path, so none overwrites another, and a task
+    that runs twice writes the same files. Each file is read once; the report is kept in ``_report`` of the target.
     """
     dicom_file.register(spark)
     files = spark.read.format("dicom").load(source)
-    done = files.filter("error is null").withColumn("dataset", deidentify_nested(F.col("dataset"), plan or starter_plan()))
-    done.write.format("dicom").mode("append").save(target)
-    named = files.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name"), F.col("error").isNull().alias("ok"), "error")
-    shared = named.groupBy("name").agg((F.count("*") > 1).alias("shared_name"))
-    return named.join(shared, "name")
+    done = files.withColumn("dataset", deidentify_nested(F.col("dataset"), plan or starter_plan()))
+    target = target.rstrip("/")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(target)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            rows = []
+            for path, dataset, pixels, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name = None
+                if error is None:
+                    try:
+                        dicom_file.write_file(store, root, name := hashlib.sha256(path.encode()).hexdigest()[:32] + ".dcm", dataset, pixels)
+                    except ValueError as problem:
+                        name, error = None, str(problem)
+                rows.append((path, path.rsplit("/", 1)[-1], error is None, error, name))
+            types = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "name", "ok", "error", "written"])
+
+    schema = "path string, name string, ok boolean, error string, written string"
+    done.select("path", "dataset", "pixel_data", "error").mapInArrow(write, schema).write.mode("overwrite").parquet(f"{target}/_report")
+    report = spark.read.schema(schema).parquet(f"{target}/_report")
+    shared = report.groupBy("name").agg((F.count("*") > 1).alias("shared_name"))
+    return report.join(shared, "name").select("path", "name", "ok", "error", "written", "shared_name")
 
 
 def from_event(dataset: Column, identifier: Column) -> Column:

@@ -13,6 +13,7 @@ import json
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelake.dims import FILE_VR, JSON_VR, MARKERS, STARTER
@@ -58,6 +59,10 @@ def starter_plan(replacements: dict[str, str] | None = None, **options) -> Plan:
     return Plan([(t, a, replacements.get(t, r)) for t, a, r in STARTER], **options)
 
 
+#: The same profile by its other name.
+basic_plan = starter_plan
+
+
 def _new_value(plan: Plan, key: Column, value: Column) -> Column:
     out = F.when(key.isin(*plan.tags("EMPTY")), F.lit("")) if plan.tags("EMPTY") else F.when(F.lit(False), F.lit(""))
     for tag, action, replacement in plan.final:
@@ -76,37 +81,91 @@ def _markers(plan: Plan) -> list[tuple[str, str]]:
     return [(t, str(r)) for t, a, r in plan.final if a == "REPLACE" and t in MARKERS]
 
 
-def deidentify(ds: Column, plan: Plan) -> Column:
+def deidentify(ds: Column, plan: Plan, remove_private: bool | None = None) -> Column:
     """The attribute map after the plan: rules first, private attributes second. Rules act on present attributes
-    only, but for replacements of the markers, which are always set."""
+    only, but for replacements of the markers, which are always set. ``remove_private``, if given, overrules the plan."""
     out = F.map_filter(ds, lambda k, v: ~k.isin(*plan.tags("DELETE"))) if plan.tags("DELETE") else ds
     out = F.transform_values(out, lambda k, v: _new_value(plan, k, v))
     if markers := _markers(plan):
         out = F.map_concat(out, F.create_map(*[F.lit(x) for pair in markers for x in pair]))
-    return F.map_filter(out, lambda k, v: ~is_private(k)) if plan.remove_private else out
+    removes = plan.remove_private if remove_private is None else remove_private
+    return F.map_filter(out, lambda k, v: ~is_private(k)) if removes else out
 
 
 def audit(df: DataFrame, id_col: str, ds_col: str, plan: Plan, redact_previous: bool = True) -> DataFrame:
-    """An event for every rule and row, present or not: (id, pos, tag8, action, present, previous_value, replacement,
-    changed). Previous values are withheld unless asked for."""
+    """An event for every rule and row, present or not: (id, pos, tag8, action, present, after_present,
+    previous_value, replacement, new_value, changed). Previous values are withheld unless asked for; new ones are too
+    where they are previous ones. The replacement of a remapped identifier is its new value, empty if it is absent."""
     rules = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("tag8"), F.lit(a).alias("action"), F.lit(None if r is None else str(r)).cast("string").alias("replacement")) for i, (t, a, r) in enumerate(plan.final)])
     rows = df.select(F.col(id_col), F.col(ds_col).alias("__ds"), F.explode(rules).alias("r"))
-    previous = F.try_element_at("__ds", F.col("r.tag8"))
+    previous, action = F.try_element_at("__ds", F.col("r.tag8")), F.col("r.action")
     present = F.map_contains_key("__ds", F.col("r.tag8"))
-    remapped = F.when(F.col("r.action") == "REMAP_UID", F.when(present, remap_uid(previous, plan.uid_root, plan.uid_salt))).otherwise(F.col("r.replacement"))
     marker = F.col("r.tag8").isin(*[t for t, _ in _markers(plan)]) if _markers(plan) else F.lit(False)
+    # the very expression that changes the data
+    new = F.when(marker, F.col("r.replacement")).when(present & (action != "DELETE"), _new_value(plan, F.col("r.tag8"), previous))
+    kept_back = F.lit(redact_previous) & (new == previous) & (action == "SHIFT_DATE")
     return rows.select(
         id_col,
         "r.pos",
         "r.tag8",
         "r.action",
         present.alias("present"),
+        (marker | present & (action != "DELETE")).alias("after_present"),
         (F.lit(None).cast("string") if redact_previous else previous).alias("previous_value"),
-        remapped.alias("replacement"),
+        F.when(action == "REMAP_UID", F.coalesce(new, F.lit(""))).otherwise(F.col("r.replacement")).alias("replacement"),
+        F.when(~F.coalesce(kept_back, F.lit(False)), new).alias("new_value"),
         (present | marker).alias("changed"),
     )
 
 
+EVENT = "path array<string>, item_path array<int>, pos int, tag8 string, action string, present boolean, after_present boolean, previous_value string, replacement string, new_value string"
+
+
+def audit_nested(df: DataFrame, id_col: str, json_col: str, plan: Plan, redact_previous: bool = True) -> DataFrame:
+    """The events of `deidentify_nested`: one for every rule and dataset, the outer one and each sequence item that
+    its own rules left, those of private sequences too, as rules come before the removal of private elements.
+
+    ``path`` are the sequences' tags from outside in, ``item_path`` the items' places in them; values are JSON. A null
+    dataset has no event.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    events: list[tuple] = []
+                    _apply(json.loads(text), plan, events, (), ())
+                    at += [i] * len(events)
+                    rows += events
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+            types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.string()] * 3]
+            names = [id_col, *(f.strip().split(" ")[0] for f in EVENT.split(", "))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+
+    out = df.select(F.col(id_col), F.col(json_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, {EVENT}")
+    if not redact_previous:
+        return out
+    same = F.col("new_value") == F.col("previous_value")
+    return out.withColumn("new_value", F.when(~F.coalesce(same & (F.col("action") == "SHIFT_DATE"), F.lit(False)), F.col("new_value"))).withColumn("previous_value", F.lit(None).cast("string"))
+
+
+def reports(events: DataFrame, id_col: str, plan: Plan, private_removed: DataFrame | None = None) -> DataFrame:
+    """(id, report): a JSON text a row's id with its events in order, the number of private elements removed (0 unless
+    ``private_removed`` has it by id) and what was done with such elements. Events hold what `audit` let through."""
+    names = [c for c in events.columns if c != id_col]
+    nested = [c for c in ("item_path", "path") if c in names]
+    order = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*nested, "pos"])], F.struct(*names).alias("event"))
+    packed = events.groupBy(id_col).agg(F.array_sort(F.collect_list(order)).alias("__events"))
+    removed = F.lit(0).cast("long")
+    if private_removed is not None:
+        packed = packed.join(private_removed.select(id_col, F.col("removed").cast("long").alias("__removed")), id_col, "left")
+        removed = F.coalesce("__removed", removed)
+    body = F.struct(F.transform("__events", lambda e: e["event"]).alias("events"), removed.alias("private_tags_removed"), F.lit("REMOVE" if plan.remove_private else "KEEP").alias("private_tag_action"))
+    return packed.select(id_col, F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+
+
 def audit_counts(df: DataFrame, id_col: str, ds_col: str, plan: Plan) -> DataFrame:
     """(id, events, changed, private_removed): a row per input row, without an explode."""
     ds = F.col(ds_col)
@@ -132,30 +191,54 @@ def _shift(text, days: int):
     return f"{moved.year:04d}{moved.month:02d}{moved.day:02d}{text[8:]}"
 
 
-def deidentify_json(dataset: dict, plan: Plan) -> dict:
-    """The plan on a DICOM JSON object and, after its own rules, on every sequence item that is left of it."""
+def _shown(element: dict | None) -> str | None:
+    """The value of an element as an event tells it: the text alone if it is one, else JSON."""
+    if element is None:
+        return None
+    values = element.get("Value", [element["InlineBinary"]] if "InlineBinary" in element else [])
+    values = [v.get("Alphabetic", "") if isinstance(v, dict) and element.get("vr") == "PN" else v for v in values]
+    return (values[0] if isinstance(values[0], str) else json.dumps(values[0])) if len(values) == 1 else json.dumps(values, ensure_ascii=False)
+
+
+def _ruled(tag: str, action: str, replacement, element: dict | None, plan: Plan) -> dict | None:
+    """The element after a rule; None is none."""
+    if action == "REPLACE" and (element is not None or tag in MARKERS):
+        value = {"Alphabetic": str(replacement)} if JSON_VR.get(tag) == "PN" else str(replacement)
+        return {"vr": (element or {}).get("vr") or FILE_VR.get(tag, "UN"), "Value": [value]}
+    if element is None or action == "DELETE":
+        return None
+    if action == "EMPTY":
+        return {"vr": element.get("vr"), "Value": [""]}
+    if action == "REMAP_UID":
+        return {"vr": element.get("vr"), "Value": [_remap(str(v), plan) for v in element.get("Value", [])]}
+    if action == "SHIFT_DATE":
+        return {"vr": element.get("vr"), "Value": [_shift(v, replacement) for v in element.get("Value", [])]}
+    return element
+
+
+def _apply(dataset: dict, plan: Plan, events: list | None, path: tuple, places: tuple) -> dict:
+    """The plan on a dataset, then on the items left in it, then the removal of private elements."""
     out = {tag.upper(): element for tag, element in dataset.items()}
-    for tag, action, replacement in plan.final:
-        if action == "REPLACE" and (tag in out or tag in MARKERS):
-            value = {"Alphabetic": str(replacement)} if JSON_VR.get(tag) == "PN" else str(replacement)
-            out[tag] = {"vr": out.get(tag, {}).get("vr") or FILE_VR.get(tag, "UN"), "Value": [value]}
-        elif tag not in out:
-            continue
-        elif action == "DELETE":
-            del out[tag]
-        elif action == "EMPTY":
-            out[tag] = {"vr": out[tag].get("vr"), "Value": [""]}
-        elif action == "REMAP_UID":
-            out[tag] = {"vr": out[tag].get("vr"), "Value": [_remap(str(v), plan) for v in out[tag].get("Value", [])]}
-        elif action == "SHIFT_DATE":
-            out[tag] = {"vr": out[tag].get("vr"), "Value": [_shift(v, replacement) for v in out[tag].get("Value", [])]}
-    if plan.remove_private:
-        out = {tag: element for tag, element in out.items() if int(tag[3], 16) % 2 == 0}
+    for pos, (tag, action, replacement) in enumerate(plan.final):
+        before = out.get(tag)
+        after = _ruled(tag, action, replacement, before, plan)
+        if after is None:
+            out.pop(tag, None)
+        else:
+            out[tag] = after
+        if events is not None:
+            told = (_shown(after) or "") if action == "REMAP_UID" else None if replacement is None else str(replacement)
+            events.append((list(path), list(places), pos, tag, action, before is not None, after is not None, _shown(before), told, _shown(after)))
     for tag, element in out.items():
         if element.get("vr") == "SQ":
-            items = [deidentify_json(x, plan) if isinstance(x, dict) else x for x in element.get("Value", [])]
+            items = [_apply(x, plan, events, (*path, tag), (*places, i)) if isinstance(x, dict) else x for i, x in enumerate(element.get("Value", []))]
             out[tag] = element | {"Value": items}
-    return out
+    return {tag: element for tag, element in out.items() if int(tag[3], 16) % 2 == 0} if plan.remove_private else out
+
+
+def deidentify_json(dataset: dict, plan: Plan) -> dict:
+    """The plan on a DICOM JSON object and, after its own rules, on every sequence item that is left of it."""
+    return _apply(dataset, plan, None, (), ())
 
 
 def deidentify_nested(json_col: Column, plan: Plan) -> Column:

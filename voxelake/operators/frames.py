@@ -38,11 +38,13 @@ def native_frame(data: bytes, m: dict, frame: int, syntax: str) -> np.ndarray:
     return flat.reshape(*shape, m["samples"])
 
 
-def decode(df: DataFrame, id_col: str, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+def decode(df: DataFrame, id_col: str, decoders: dict[str, Decoder] | None = None, rescale: bool = False) -> DataFrame:
     """(id, frame, shape array<int>, pixels array<double>, error): a row per frame, pixels in row-major order.
 
-    ``df`` has the columns of `META`, ``syntax`` and ``pixel_data``. A row that cannot be decoded gives one row with
-    its error. Compressed syntaxes take a decoder of the caller's; a multi-frame row is decoded once.
+    ``df`` has the columns of `META`, ``syntax`` and ``pixel_data``, and with ``rescale`` ``slope`` and ``intercept``,
+    by which pixels are then scaled; a slope of zero or none counts as one. A row that cannot be decoded gives one row
+    with its error. Compressed syntaxes take a decoder of the caller's, which gets the items as they are in the file
+    (`dicom_file.frames` tells the frames apart); a multi-frame row is decoded once.
     """
     kind, decoders = df.schema[id_col].dataType.simpleString(), decoders or {}
 
@@ -50,26 +52,36 @@ def decode(df: DataFrame, id_col: str, decoders: dict[str, Decoder] | None = Non
         if row["pixel_data"] is None:
             raise ValueError("PixelData is missing.")
         if row["syntax"] in NATIVE_SYNTAXES:
-            return [native_frame(row["pixel_data"], row, i, row["syntax"]) for i in range(row["frames"])]
-        if row["syntax"] not in decoders:
+            found = [native_frame(row["pixel_data"], row, i, row["syntax"]) for i in range(row["frames"])]
+        elif row["syntax"] not in decoders:
             raise ValueError(f"No codec decodes transfer syntax {row['syntax']}.")
-        return decoders[row["syntax"]](row["pixel_data"], row)
+        else:
+            found = decoders[row["syntax"]](row["pixel_data"], row)
+        return [f.astype(np.float64) * (row["slope"] or 1.0) + (row["intercept"] or 0.0) for f in found] if rescale else found
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
+            at, number, shapes, pixels, errors = [], [], [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 try:
-                    found = [(n, list(f.shape), f.astype(np.float64).ravel(), None) for n, f in enumerate(frames_of(row))]
+                    found, error = frames_of(row), None
                 except (ValueError, IndexError, TypeError) as problem:
-                    found = [(None, None, None, str(problem))]
+                    found, error = [None], str(problem)
                 at += [i] * len(found)
-                rows += found
-            n, shape, pixels, error = zip(*rows, strict=True) if rows else ([], [], [], [])
-            arrays = [pa.array(n, pa.int32()), pa.array(shape, pa.list_(pa.int32())), pa.array(pixels, pa.list_(pa.float64())), pa.array(error, pa.string())]
+                number += [None] if error else range(len(found))
+                shapes += [None if f is None else f.shape for f in found]
+                pixels += found
+                errors += [error] * len(found)
+            # one flat array of all frames, cut by offsets
+            flat = [np.zeros(0) if f is None else np.ascontiguousarray(f, np.float64).ravel() for f in pixels]
+            ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+            offsets = pa.array(ends, pa.int32(), mask=np.array([*(f is None for f in pixels), False]))
+            values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*flat, np.zeros(0)])))
+            arrays = [pa.array(number, pa.int32()), pa.array(shapes, pa.list_(pa.int32())), values, pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=[id_col, "frame", "shape", "pixels", "error"])
 
-    return df.select(F.col(id_col), *META, "syntax", "pixel_data").mapInArrow(run, f"`{id_col}` {kind}, frame int, shape array<int>, pixels array<double>, error string")
+    more = ["slope", "intercept"] if rescale else []
+    return df.select(F.col(id_col), *META, "syntax", "pixel_data", *[F.col(c).cast("double") for c in more]).mapInArrow(run, f"`{id_col}` {kind}, frame int, shape array<int>, pixels array<double>, error string")
 
 
 def windowed(x: np.ndarray, center: float, width: float) -> np.ndarray:
@@ -146,9 +158,24 @@ def to_jpeg(pixels: np.ndarray, quality: int = 85, progressive: bool = False, op
     return out.getvalue()
 
 
-def previews(frames: DataFrame, id_col: str, photometric_col: str, window: bool = True, center: float | None = None, width: float | None = None) -> DataFrame:
-    """(id, frame, preview): a PNG of every row of `decode` (with ``photometric_col`` joined to it)."""
-    kind = frames.schema[id_col].dataType.simpleString()
+def from_jpeg(data: bytes, mode: str = "L") -> np.ndarray:
+    """The pixels of a JPEG in a mode of Pillow's (L is grey), if that can be imported."""
+    try:
+        from PIL import Image
+    except ImportError as missing:
+        raise RuntimeError("reading JPEG previews needs Pillow") from missing
+    import io
+
+    return np.asarray(Image.open(io.BytesIO(data)).convert(mode))
+
+
+def previews(frames: DataFrame, id_col: str, photometric_col: str, window: bool = True, center: float | None = None, width: float | None = None, encode: Callable[[np.ndarray], bytes] = to_png) -> DataFrame:
+    """(id, frame, preview): an image of every row of `decode` (with ``photometric_col`` joined to it).
+
+    The window is the one given; else that of the columns ``window_center`` and ``window_width``, where ``frames`` has
+    them and they are not null; else the frame's mean and range. ``encode`` makes the image, `to_png` or `to_jpeg`.
+    """
+    kind, told = frames.schema[id_col].dataType.simpleString(), [c for c in ("window_center", "window_width") if c in frames.columns]
 
     def run(batches):
         for batch in batches:
@@ -156,8 +183,9 @@ def previews(frames: DataFrame, id_col: str, photometric_col: str, window: bool
             for r in batch.to_pylist():
                 x = np.array(r["pixels"]).reshape(r["shape"])
                 x = x.astype(np.uint8) if x.ndim == 3 and x.min() >= 0 and x.max() <= 255 else x
-                out.append(to_png(raster(x, r["photometric"], window, center, width)))
+                middle = r.get("window_center") if center is None else center
+                out.append(encode(raster(x, r["photometric"], window, middle, r.get("window_width") if width is None else width)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[id_col, "frame", "preview"])
 
-    rows = frames.filter("error is null").select(id_col, "frame", "shape", "pixels", F.col(photometric_col).alias("photometric"))
+    rows = frames.filter("error is null").select(id_col, "frame", "shape", "pixels", F.col(photometric_col).alias("photometric"), *[F.col(c).cast("double") for c in told])
     return rows.mapInArrow(run, f"`{id_col}` {kind}, frame int, preview binary")

@@ -70,35 +70,46 @@ def parse_headers(block: bytes) -> dict[str, str]:
 
 
 def parse(chunks: Iterable[bytes], content_type: str, max_part: int = MAX_PART_BYTES) -> Iterator[Part]:
-    """Parts as soon as they are complete. A preamble is skipped; a last part that the stream cuts short still comes."""
-    mark = b"--" + boundary_of(content_type).encode("latin-1")
-    source, buffer, searched, inside = iter(chunks), b"\r\n", 0, False
+    """Parts as soon as they are complete. A preamble is skipped; a last part that the stream cuts short still comes.
+
+    A part of more than ``max_part`` bytes is an error; chunks may be of any size and hold any number of parts.
+    """
+    mark = b"\r\n--" + boundary_of(content_type).encode("latin-1")
+    source, buffer, start, searched, inside = iter(chunks), bytearray(b"\r\n"), 0, 0, False
+
+    def checked(end: int) -> bytes:
+        if end - start > max_part:
+            raise ValueError("a part is larger than allowed")
+        return bytes(buffer[start:end])
+
     while True:
-        at = buffer.find(b"\r\n" + mark, searched)
-        if at < 0 or len(buffer) < at + 4 + len(mark):
-            searched = max(0, len(buffer) - len(mark) - 4) if at < 0 else at
+        at = buffer.find(mark, searched)
+        if at < 0 or len(buffer) < at + len(mark) + 2:
+            searched = at if at >= 0 else max(start, len(buffer) - len(mark))
+            if not inside and at < 0:
+                start = searched
+            elif at < 0 and searched - start > max_part:
+                raise ValueError("a part is larger than allowed")
+            del buffer[:start]
+            searched, start = searched - start, 0
             chunk = next(source, None)
             if chunk is None:
                 break
-            if not inside and at < 0:
-                buffer, searched = buffer[searched:], 0
             buffer += chunk
-            if len(buffer) > max_part:
-                raise ValueError("a part is larger than allowed")
             continue
         if inside:
-            yield _part(buffer[:at])
-        rest = buffer[at + 2 + len(mark) :]
-        if rest.startswith(b"--"):
+            yield _part(checked(at))
+        end = at + len(mark)
+        if buffer[end : end + 2] == b"--":
             return
-        while b"\r\n" not in rest:  # white space may follow the boundary
+        while (line := buffer.find(b"\r\n", end)) < 0:  # white space may follow the boundary
             chunk = next(source, None)
             if chunk is None:
                 return
-            rest += chunk
-        buffer, searched, inside = rest[rest.index(b"\r\n") :], 0, True
+            buffer += chunk
+        start, searched, inside = line, line, True
     if inside and len(buffer) > 2:
-        yield _part(buffer)
+        yield _part(checked(len(buffer)))
 
 
 def _part(raw: bytes) -> Part:

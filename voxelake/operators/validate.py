@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelake.dims import TAG_OF, dim_iod
+from voxelake.dims import IOD_PROFILES, TAG_OF, dim_iod
 from voxelake.functions.pixels import metadata_error
 from voxelake.functions.tags import tag_label
 
@@ -28,12 +28,14 @@ def pixel_columns(ds: Column) -> dict[str, Column]:
 def pixel_error(ds: Column) -> Column:
     """The first thing wrong with the pixel metadata: a missing or unreadable field, else a violated rule."""
     out = F.lit(None).cast("string")
-    for k in reversed((*PIXEL_FIELDS, "PhotometricInterpretation")):
-        raw = F.try_element_at(ds, F.lit(TAG_OF[k]))
+    several = F.try_element_at(ds, F.lit(TAG_OF["SamplesPerPixel"])).try_cast("int") > 1
+    # fixed values: the message texts; planes must be told of pixels of several samples, right after their number
+    for k in reversed((PIXEL_FIELDS[0], "PlanarConfiguration", *PIXEL_FIELDS[1:], "PhotometricInterpretation")):
+        raw, asked = F.try_element_at(ds, F.lit(TAG_OF[k])), several if k == "PlanarConfiguration" else F.lit(True)
         label = f"({TAG_OF[k][:4]},{TAG_OF[k][4:]})"
-        out = F.when(raw.isNull(), F.lit(f"Required pixel metadata tag {k} {label} is missing.")).otherwise(out)
-        if k in PIXEL_FIELDS:
-            bad = raw.isNotNull() & raw.try_cast("int").isNull()
+        out = F.when(asked & raw.isNull(), F.lit(f"Required pixel metadata tag {k} {label} is missing.")).otherwise(out)
+        if k != "PhotometricInterpretation":
+            bad = asked & raw.isNotNull() & raw.try_cast("int").isNull()
             out = F.when(bad, F.concat(F.lit(f"Pixel metadata tag {label} must be an integer, got '"), raw, F.lit("'."))).otherwise(out)
     return F.coalesce(out, metadata_error(pixel_columns(ds)))
 
@@ -65,13 +67,32 @@ def validate_sop_class(df: DataFrame, id_col: str, ds_col: str, sop_class: Colum
     joined = rows.join(F.broadcast(dim_iod(df.sparkSession)), F.col("__uid") == F.col("sop_class_uid"), "left")
     there = F.map_contains_key("__ds", F.col("tag8"))
     filled = F.coalesce(F.trim(F.try_element_at("__ds", F.col("tag8"))), F.lit("")) != ""
-    label = F.concat(F.col("label"), F.lit(" "), tag_label(F.col("tag8")))
+    finding = (
+        F.when(F.col("__uid").isNull(), F.lit("no class"))
+        .when(F.col("sop_class_uid").isNull(), F.lit("no profile"))
+        .when((F.col("type") == 1) & ~filled, F.lit("type 1"))
+        .when((F.col("type") == 2) & ~there, F.lit("type 2"))
+    )
+    out = joined.withColumn("__finding", finding).filter("__finding is not null")
+    found, label = F.col("__finding"), F.concat(F.col("label"), F.lit(" "), tag_label(F.col("tag8")))
+    # fixed values: the texts of the findings
     message = (
-        F.when(F.col("__uid").isNull(), F.lit("[error] SOPClassUID is absent — cannot determine which IOD to validate against."))
-        .when(F.col("sop_class_uid").isNull(), F.concat(F.lit("[warning] SOP Class '"), F.col("__uid"), F.lit("' is not in the built-in IOD profile table. No mandatory-attribute checks were performed.")))
-        .when((F.col("type") == 1) & ~filled, F.concat(F.lit("[error] "), F.col("profile"), F.lit(" requires "), label, F.lit(" (Type 1 — must be present and non-empty).")))
-        .when((F.col("type") == 2) & ~there, F.concat(F.lit("[warning] "), F.col("profile"), F.lit(" expects "), label, F.lit(" (Type 2 — must be present, may be empty).")))
+        F.when(found == "no class", F.lit("[error] SOPClassUID is absent — cannot determine which IOD to validate against."))
+        .when(found == "no profile", F.concat(F.lit("[warning] SOP Class '"), F.col("__uid"), F.lit("' is not in the built-in IOD profile table. No mandatory-attribute checks were performed.")))
+        .when(found == "type 1", F.concat(F.lit("[error] "), F.col("profile"), F.lit(" requires "), label, F.lit(" (Type 1 — must be present and non-empty).")))
+        .otherwise(F.concat(F.lit("[warning] "), F.col("profile"), F.lit(" expects "), label, F.lit(" (Type 2 — must be present, may be empty).")))
     )
-    out = joined.withColumn("message", message).filter("message is not null")
-    severity = F.regexp_extract("message", r"^\[(\w+)\]", 1)
-    return out.select(id_col, F.coalesce("type", F.lit(0)).alias("type"), F.coalesce("seq", F.lit(0)).alias("seq"), severity.alias("severity"), "tag8", "message")
+    severity = F.when(found.isin("no class", "type 1"), F.lit("error")).otherwise(F.lit("warning"))
+    return out.select(id_col, F.coalesce("type", F.lit(0)).alias("type"), F.coalesce("seq", F.lit(0)).alias("seq"), severity.alias("severity"), "tag8", message.alias("message"))
+
+
+def finding_counts(ds: Column, sop_class: Column | None = None) -> Column:
+    """struct(errors, warnings): how many findings of `validate_sop_class` a dataset has, without their rows."""
+    uid = F.nullif(F.trim(F.try_element_at(ds, F.lit(TAG_OF["SOPClassUID"])) if sop_class is None else sop_class), F.lit(""))
+    errors, warnings = F.when(uid.isNull(), 1).otherwise(0), F.when(uid.isNull() | uid.isin(*IOD_PROFILES), 0).otherwise(1)
+    for name, (_, one, two) in IOD_PROFILES.items():
+        tags = lambda keys: F.array(*[F.lit(TAG_OF[k]) for k in keys])
+        empty = F.size(F.filter(tags(one), lambda t: F.coalesce(F.trim(F.try_element_at(ds, t)), F.lit("")) == ""))
+        absent = F.size(F.array_except(tags(two), F.map_keys(ds)))
+        errors, warnings = F.when(uid == name, empty).otherwise(errors), F.when(uid == name, absent).otherwise(warnings)
+    return F.struct(errors.alias("errors"), warnings.alias("warnings"))

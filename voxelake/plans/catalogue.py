@@ -29,6 +29,8 @@ def query(sql: str | None = None):
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
+    from voxelake.plans import more  # noqa: F401  (its queries register themselves)
+
     return dict(_QUERIES)
 
 
@@ -75,8 +77,12 @@ def _shift_sql(value: str, days: str) -> str:
 
 
 def _new_folder(spark: SparkSession, label: str) -> str:
-    """A folder all executors reach: in the cluster's spark.checkpoint.dir, or (local tests) a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="voxelake-")
+    """A folder all executors reach: in the cluster's spark.checkpoint.dir, or with a local master a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="voxelake-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -179,9 +185,15 @@ def nested_elements(spark, d):
     return model.elements(_nested_json(spark, d), "o_orderkey", "dataset").select("o_orderkey", F.size("path").alias("depth"), "tag8", "is_private")
 
 
-@query("SELECT o_orderkey, CAST(1 AS BIGINT) AS removed, CAST(4 AS BIGINT) AS kept FROM orders")
+@query("SELECT o_orderkey, CAST(1 + o_orderkey % 3 AS BIGINT) AS removed, CAST(2 + o_orderkey % 2 AS BIGINT) AS kept FROM orders")
 def nested_private_count(spark, d):
-    found = model.elements(_nested_json(spark, d), "o_orderkey", "dataset")
+    """Private elements at both levels; what stands inside a removed one is not counted again."""
+    n = F.col("o_orderkey")
+    outer = F.when(n % 2 == 1, '"00100020":{"vr":"LO","Value":["kept"]},').otherwise("")
+    hidden = F.when(n % 3 == 2, '"00131001":{"vr":"LO","Value":["x"]},').otherwise("")
+    own = F.when(n % 3 >= 1, '"00111010":{"vr":"SQ","Value":[{"00131010":{"vr":"LO","Value":["inside"]},"00100010":{"vr":"PN"}}]},').otherwise("")
+    body = F.concat(F.lit("{"), outer, own, hidden, F.lit('"00081115":{"vr":"SQ","Value":[{"00100010":{"vr":"PN"},"00111001":{"vr":"LO","Value":["x"]}}]}}'))
+    found = model.elements(table(spark, d, "orders").select("o_orderkey", body.alias("dataset")), "o_orderkey", "dataset")
     _, counted = model.private_removed(found)
     return found.groupBy("o_orderkey").agg(F.count_if(counted).alias("removed"), F.count_if(~F.exists("path", tags.is_private) & ~F.col("is_private")).alias("kept"))
 
@@ -219,10 +231,11 @@ def uid_remap(spark, d):
     return table(spark, d, "orders").select("o_orderkey", uids.remap_uid(uid).alias("uid"))
 
 
-@query(f"WITH {INSTANCES} SELECT count(DISTINCT SeriesInstanceUID) AS before, count(DISTINCT SeriesInstanceUID) AS after FROM instances")
+@query(f"WITH {INSTANCES} SELECT {_remap_sql('SeriesInstanceUID')} AS series, count(*) AS instances, count(DISTINCT {_remap_sql('SOPInstanceUID')}) AS distinct_instances FROM instances GROUP BY 1")
 def uid_relationship(spark, d):
-    rows = instances(spark, d).select("SeriesInstanceUID").withColumn("new", uids.remap_uid(F.col("SeriesInstanceUID")))
-    return rows.agg(F.count_distinct("SeriesInstanceUID").alias("before"), F.count_distinct("new").alias("after"))
+    """Instances by remapped series: what belonged together still does."""
+    rows = instances(spark, d).select(uids.remap_uid(F.col("SeriesInstanceUID")).alias("series"), uids.remap_uid(F.col("SOPInstanceUID")).alias("instance"))
+    return rows.groupBy("series").agg(F.count("*").alias("instances"), F.count_distinct("instance").alias("distinct_instances"))
 
 
 @query("SELECT o_orderkey, true AS valid, true AS fits FROM orders")
@@ -272,13 +285,6 @@ def text_encodable_latin1(spark, d):
     return table(spark, d, "documents").select("doc_id", text.can_encode(F.col("text"), F.lit("ISO_IR 100")).alias("encodable"))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
-def text_roundtrip(spark, d):
-    charset = F.lit("GB18030")
-    rows = table(spark, d, "documents").select("doc_id", "text").withColumn("data", text.encode_text(F.col("text"), charset))
-    return rows.select("doc_id", (text.decode_text(F.col("data"), charset) == F.col("text")).alias("same"))
-
-
 @query("""
 SELECT c_custkey, split_part(c_name, '#', 1) AS family_name, split_part(c_name, '#', 2) AS given_name, '' AS middle_name, 'Dr' AS name_prefix,
        'PhD' AS name_suffix, 'Ideo' || c_custkey AS ideographic, replace(c_name, '#', '^') || '^^Dr^PhD=Ideo' || c_custkey AS raw
@@ -474,13 +480,6 @@ def frame_window_stats(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_min(x).alias("low"), F.array_max(x).alias("high"), F.array_max(px.stretch(x)).alias("stretched"))
 
 
-@query("SELECT vec_id, true AS same FROM embeddings")
-def frame_preview(spark, d):
-    """PNG previews, read back."""
-    shown = frames.previews(frames.decode(_embedding_frames(spark, d), "vec_id").withColumn("photometric", F.lit("MONOCHROME2")), "vec_id", "photometric", window=False)
-    return shown.select("vec_id", F.startswith("preview", F.lit(b"\x89PNG\r\n\x1a\n")).alias("same"))
-
-
 # --- de-identification and validation -------------------------------------------------------------------------------
 
 _value = lambda ds, k: F.try_element_at(ds, F.lit(TAG_OF[k])).alias(k)
@@ -553,24 +552,29 @@ def validate_dataset(spark, d):
 
 
 PRESENT = ("SOPClassUID", "StudyInstanceUID", "Modality", "PatientName", "PatientID", "StudyDate")
-IOD_VALUES = ", ".join(f"('{uid}', {kind}, {seq}, '{k}')" for uid, (_, one, two) in IOD_PROFILES.items() for kind, keys in ((1, one), (2, two)) for seq, k in enumerate(keys))
+IOD_VALUES = ", ".join(f"('{uid}', {kind}, {seq}, '{k}', '{name}', '{TAG_OF[k]}')" for uid, (name, one, two) in IOD_PROFILES.items() for kind, keys in ((1, one), (2, two)) for seq, k in enumerate(keys))
 MISSING_SQL = f"""
-WITH {STUDIES}, need(uid, type, seq, keyword) AS (VALUES {IOD_VALUES})
-SELECT o_orderkey, Modality, type, seq, CASE type WHEN 1 THEN 'error' ELSE 'warning' END AS severity
+WITH {STUDIES}, need(uid, type, seq, keyword, profile, tag8) AS (VALUES {IOD_VALUES})
+SELECT o_orderkey, Modality, type, seq, CASE type WHEN 1 THEN 'error' ELSE 'warning' END AS severity,
+       CASE type WHEN 1 THEN '[error] ' || profile || ' requires ' ELSE '[warning] ' || profile || ' expects ' END || keyword || ' (' || substr(tag8, 1, 4) || ',' || substr(tag8, 5, 4) || ') '
+       || CASE type WHEN 1 THEN '(Type 1 — must be present and non-empty).' ELSE '(Type 2 — must be present, may be empty).' END AS message
 FROM studies JOIN need ON uid = SOPClassUID
 WHERE keyword NOT IN {PRESENT} AND NOT (keyword = 'AccessionNumber' AND accession_state <> 'absent')
 """
 
 
-@query(f"SELECT o_orderkey, type, seq, severity FROM ({MISSING_SQL})")
+@query(f"SELECT o_orderkey, type, seq, severity, message FROM ({MISSING_SQL})")
 def validate_iod_missing(spark, d):
-    return validate.validate_sop_class(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds").select("o_orderkey", "type", "seq", "severity")
+    return validate.validate_sop_class(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds").select("o_orderkey", "type", "seq", "severity", "message")
 
 
 @query(f"SELECT severity, count(*) AS findings, count(DISTINCT o_orderkey) AS studies FROM ({MISSING_SQL}) GROUP BY 1")
 def validate_iod_summary(spark, d):
-    found = validate.validate_sop_class(studies(spark, d).select("o_orderkey", study_dataset().alias("ds")), "o_orderkey", "ds")
-    return found.groupBy("severity").agg(F.count("*").alias("findings"), F.count_distinct("o_orderkey").alias("studies"))
+    """Counted by study: no row for each finding, no message and nothing distinct to gather."""
+    n = studies(spark, d).select(validate.finding_counts(study_dataset()).alias("n"))
+    both = F.array(F.struct(F.lit("error").alias("severity"), F.col("n.errors").alias("n")), F.struct(F.lit("warning").alias("severity"), F.col("n.warnings").alias("n")))
+    found = n.select(F.inline(both)).filter("n > 0")
+    return found.groupBy("severity").agg(F.sum("n").alias("findings"), F.count("*").alias("studies"))
 
 
 # --- JSON, queries, multipart ---------------------------------------------------------------------------------------
@@ -607,11 +611,6 @@ def qido_filter_limit(spark, d):
     return q.apply(studies(spark, d), ["StudyInstanceUID"])
 
 
-@query("SELECT c_custkey, 'PatientName=' || replace(replace(replace(c_name, '%', '%25'), '#', '%23'), ' ', '+') || '%2A~' AS params FROM customer")
-def qido_querystring(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("PatientName="), text.quote_plus(F.concat(F.col("c_name"), F.lit("*~")))).alias("params"))
-
-
 @query("SELECT doc_id, 0 AS pos, strlen(text)::BIGINT AS n, md5(text) AS digest FROM documents UNION ALL SELECT doc_id, 1, 3, md5('two') FROM documents")
 def multipart_roundtrip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.array(F.col("text").cast("binary"), F.lit(b"two")).alias("bodies"))
@@ -619,22 +618,6 @@ def multipart_roundtrip(spark, d):
     return parts.select("doc_id", "pos", F.octet_length("body").cast("long").alias("n"), F.md5("body").alias("digest"))
 
 
-@query(f"WITH {STUDIES} SELECT o_orderkey, PatientName AS patient_name, CASE accession_state WHEN 'filled' THEN 'ACC' || o_orderkey ELSE '' END AS accession_number, '' AS manufacturer, CAST(NULL AS INTEGER) AS series_number, 1 AS number_of_frames, '1.2.840.10008.1.2.1' AS transfer_syntax FROM studies")
-def named_attributes(spark, d):
-    ds = study_dataset()
-    named = lambda k: F.coalesce(F.try_element_at(ds, F.lit(TAG_OF[k])), F.lit(""))
-    number = lambda k: F.try_element_at(ds, F.lit(TAG_OF[k])).try_cast("int")
-    return studies(spark, d).select(
-        "o_orderkey",
-        named("PatientName").alias("patient_name"),
-        named("AccessionNumber").alias("accession_number"),
-        named("Manufacturer").alias("manufacturer"),
-        number("SeriesNumber").alias("series_number"),
-        F.coalesce(number("NumberOfFrames"), F.lit(1)).alias("number_of_frames"),
-        F.coalesce(F.nullif(named("TransferSyntaxUID"), F.lit("")), F.lit("1.2.840.10008.1.2.1")).alias("transfer_syntax"),
-    )
-
-
 # --- services, streams, files ---------------------------------------------------------------------------------------
 
 
@@ -685,65 +668,6 @@ def uid_path(spark, d):
     return table(spark, d, "orders").select("o_orderkey", uids.path_uid(F.concat(F.lit("1.2."), F.col("o_orderkey").cast("string"))).alias("segment"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS attempt, least(1.0 * pow(2.0, i), 60.0)::DOUBLE AS delay FROM range(10) t(i)")
-def retry_backoff(spark, d):
-    return spark.range(10).select(F.col("id").alias("attempt"), dicomweb.backoff_column(F.col("id")).alias("delay"))
-
-
-@query("SELECT event_id, n FROM (SELECT event_id, 4 + (event_id % 100)::BIGINT AS n FROM events)")
-def message_frames(spark, d):
-    """The length that a frame of a message states, and what stands after it."""
-    n = (F.col("event_id") % 100).cast("int")
-    data = F.concat(F.unhex(F.lpad(F.hex(n), 8, "0")), F.repeat(F.lit("x"), n).cast("binary"))
-    return table(spark, d, "events").select("event_id", (service.frame_length(data) + 4).alias("n"))
-
-
-def _file_rows(spark, d) -> DataFrame:
-    head = table(spark, d, "nation").select("n_nationkey", "n_name")
-    body = F.concat(
-        F.lit('{"00080016":{"vr":"UI","Value":["1.2.840.10008.5.1.4.1.1.2"]},"00080018":{"vr":"UI","Value":["1.2.3.'), F.col("n_nationkey").cast("string"),
-        F.lit('"]},"00100010":{"vr":"PN","Value":[{"Alphabetic":"'), F.col("n_name"), F.lit('"}]},"00280010":{"vr":"US","Value":[2]},"00081115":{"vr":"SQ","Value":[{"00080018":{"vr":"UI","Value":["9.9"]}}]}}'),
-    )
-    return head.select(F.lit(None).cast("string").alias("path"), body.alias("dataset"), F.lit(b"\x01\x00\x02\x00").alias("pixel_data"), F.lit(None).cast("string").alias("error"))
-
-
-def _written_files(spark, d) -> str:
-    dicom_file.register(spark)
-    path = _new_folder(spark, "files")
-    _file_rows(spark, d).write.format("dicom").mode("append").save(path)
-    return path
-
-
-FILE_SQL = "SELECT '1.2.3.' || n_nationkey AS uid, n_name AS name, '2' AS rows, '9.9' AS nested, {} AS pixels FROM nation"
-
-
-def _read_files(spark, path: str, stop: bool) -> DataFrame:
-    rows = spark.read.format("dicom").option("stopBeforePixels", str(stop).lower()).load(path)
-    at = lambda p: F.get_json_object("dataset", p)
-    return rows.select(at("$.00080018.Value[0]").alias("uid"), at("$.00100010.Value[0].Alphabetic").alias("name"), at("$.00280010.Value[0]").alias("rows"), at("$.00081115.Value[0].00080018.Value[0]").alias("nested"), F.hex("pixel_data").alias("pixels"))
-
-
-@query(FILE_SQL.format("'01000200'"))
-def file_roundtrip(spark, d):
-    return _read_files(spark, _written_files(spark, d), False)
-
-
-@query(FILE_SQL.format("CAST(NULL AS VARCHAR)"))
-def file_metadata_only(spark, d):
-    return _read_files(spark, _written_files(spark, d), True)
-
-
-@query(f"""
-WITH {INSTANCES}
-SELECT TransferSyntaxUID, count(*) AS files, CAST(count(*) FILTER (WHERE NOT (Rows > 0 AND Columns > 0 AND BitsAllocated IN (1, 8, 16, 32, 64) AND HighBit = BitsStored - 1 AND NOT (PixelRepresentation = 1 AND BitsStored < 2))) AS BIGINT) AS failed
-FROM instances GROUP BY 1
-""")
-def batch_errors(spark, d):
-    """A batch job whose failures are rows, not exceptions."""
-    rows = instances(spark, d).withColumn("error", px.metadata_error(pixel_fields()))
-    return rows.groupBy("TransferSyntaxUID").agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-
-
 @query(f"""
 WITH {STUDIES}, {INSTANCES}
 SELECT Modality, count(DISTINCT PatientID) AS patients, count(DISTINCT StudyInstanceUID) AS studies, count(DISTINCT SeriesInstanceUID) AS series, count(*) AS instances

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

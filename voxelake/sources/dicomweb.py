@@ -2,26 +2,31 @@
 
 Transports are composable: HTTP at the bottom, bearer tokens and status-code retries around it. What a transport can
 do is explicit (``streams``), so a client never takes a streaming path that the innermost transport lacks. Searches
-become partitions of pages; filters on query attributes are pushed into the request. Spark keeps the pushed filters
-of a loaded DataFrame's last query, so load anew for a query without filters.
+become partitions of pages. Query attributes are given as options of the load (``match.<Keyword>``) and go into the
+request; filters on the DataFrame are applied by Spark to what was read. (What a Python reader's ``pushFilters``
+records stays with the loaded relation, so later plans of the same DataFrame would miss rows; this reader has none.)
 """
 
 from __future__ import annotations
 
+import hashlib
+import http.client
 import json
 import random
 import ssl
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import parse_qsl, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from voxelake.dims import TAG_OF
+from voxelake.dims import JSON_VR, TAG_OF
 from voxelake.operators.multipart import Part, boundary_of, build, generate, new_boundary, parse
 from voxelake.operators.qido import Query
 
@@ -96,6 +101,122 @@ class HttpTransport:
         return Response(r.status, dict(r.headers), chunks=chunks())
 
 
+class PooledTransport:
+    """HTTP over connections that stay open and are used again, ``pool_size`` a host at most; a context manager.
+
+    A request takes an idle connection or opens one, and gives it back when its response has been read; what the pool
+    has no room for is closed. A connection that the server has closed meanwhile is opened anew, once, if the body
+    can be sent again.
+    """
+
+    streams = True
+
+    def __init__(self, timeout: float = 30.0, cert: str | tuple[str, str] | None = None, verify: bool | str = True, pool_size: int = 10):
+        self.timeout, self.pool_size, self.idle, self.lock, self.open = timeout, pool_size, {}, threading.Lock(), True
+        self.context = ssl.create_default_context(cafile=verify if isinstance(verify, str) else None)
+        if verify is False:
+            self.context.check_hostname, self.context.verify_mode = False, ssl.CERT_NONE
+        if cert:
+            self.context.load_cert_chain(*((cert,) if isinstance(cert, str) else cert))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+    def close(self) -> None:
+        with self.lock:
+            self.open, held, self.idle = False, self.idle, {}
+        for connections in held.values():
+            for c in connections:
+                c.close()
+
+    def _connect(self, scheme: str, host: str):
+        return http.client.HTTPSConnection(host, timeout=self.timeout, context=self.context) if scheme == "https" else http.client.HTTPConnection(host, timeout=self.timeout)
+
+    def _give_back(self, key: tuple[str, str], connection) -> None:
+        with self.lock:
+            held = self.idle.setdefault(key, [])
+            if self.open and len(held) < self.pool_size:
+                held.append(connection)
+                return
+        connection.close()
+
+    def _send(self, method: str, url: str, headers: dict | None, body):
+        if not self.open:
+            raise RuntimeError("the transport is closed")
+        parts = urlsplit(url)
+        key, target = (parts.scheme, parts.netloc), (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        with self.lock:
+            held = self.idle.get(key) or []
+            connection, used = (held.pop(), True) if held else (self._connect(*key), False)
+        body = body_bytes(body)
+        try:
+            connection.request(method, target, body, headers or {})
+            return key, connection, connection.getresponse()
+        except (http.client.HTTPException, OSError):
+            connection.close()
+            if not used or not (body is None or isinstance(body, bytes)):
+                raise
+        connection = self._connect(*key)
+        connection.request(method, target, body, headers or {})
+        return key, connection, connection.getresponse()
+
+    def request(self, method: str, url: str, headers: dict | None = None, body=None) -> Response:
+        key, connection, r = self._send(method, url, headers, body)
+        data = r.read()
+        self._give_back(key, connection)
+        return Response(r.status, dict(r.headers), data)
+
+    def stream(self, method: str, url: str, headers: dict | None = None, body=None, chunk_size: int = CHUNK) -> Response:
+        key, connection, r = self._send(method, url, headers, body)
+
+        def chunks():
+            try:
+                while piece := r.read(chunk_size):
+                    yield piece
+            except BaseException:
+                connection.close()
+                raise
+            self._give_back(key, connection)
+
+        return Response(r.status, dict(r.headers), chunks=chunks())
+
+
+class EchoTransport:
+    """Answers each request from itself, for dry runs and tests: a search with one dataset of its parameters and path
+    identifiers, a retrieval with parts that name its path, a store with the number and digest of what it got. Paths of
+    a study of ``0`` are not found."""
+
+    streams = True
+
+    def request(self, method: str, url: str, headers: dict | None = None, body=None) -> Response:
+        parts, headers = urlsplit(url), {k.lower(): v for k, v in (headers or {}).items()}
+        path = parts.path.strip("/").split("/")
+        if "studies" in path:
+            path = path[path.index("studies") :]
+        if path[1:2] == ["0"]:
+            return Response(404)
+        if method == "POST":
+            got = list(parse([body] if isinstance(body, bytes) else body, headers["content-type"]))
+            told = {"parts": len(got), "sha256": hashlib.sha256(b"".join(p.body for p in got)).hexdigest(), "authorization": headers.get("authorization")}
+            return Response(200, {"Content-Type": "application/json"}, json.dumps(told).encode())
+        known = dict(zip(path[::2], path[1::2]))  # noqa: B905
+        if "multipart" in headers.get("accept", ""):
+            data, kind = build([f"{name} {uid}".encode() for name, uid in known.items()], "application/dicom", "echo")
+            return Response(200, {"Content-Type": kind}, data)
+        values = {TAG_OF.get(k, k): v for k, v in parse_qsl(parts.query)} | {TAG_OF[k]: known[n] for n, k in (("studies", "StudyInstanceUID"), ("series", "SeriesInstanceUID"), ("instances", "SOPInstanceUID")) if n in known}
+        if int(dict(parse_qsl(parts.query)).get("offset", "0")):
+            return Response(200, {"Content-Type": "application/dicom+json"}, b"[]")
+        found = [{tag: {"vr": JSON_VR.get(tag, "UN"), "Value": [{"Alphabetic": v} if JSON_VR.get(tag) == "PN" else v]} for tag, v in values.items()}]
+        return Response(200, {"Content-Type": "application/dicom+json"}, json.dumps(found).encode())
+
+    def stream(self, method: str, url: str, headers: dict | None = None, body=None, chunk_size: int = CHUNK) -> Response:
+        r = self.request(method, url, headers, body)
+        return Response(r.status, r.headers, chunks=[r.body[i : i + chunk_size] for i in range(0, len(r.body), chunk_size)])
+
+
 class StaticTransport:
     """Recorded responses by url, for replays and tests: a mapping of url to body text; others are 404."""
 
@@ -118,16 +239,19 @@ def backoff_column(attempt: Column, base: float = BACKOFF_BASE, most: float = BA
 
 
 class RetryTransport:
-    """Repeats requests that end in a retryable status; exceptions and streams are not repeated."""
+    """Repeats requests that end in a retryable status; exceptions and streams are not repeated, nor are requests whose
+    body is an iterable, which the first attempt has used up."""
 
     def __init__(self, inner, max_retries: int = MAX_RETRIES, base: float = BACKOFF_BASE, most: float = BACKOFF_MAX, jitter: float = JITTER, retryable=RETRYABLE, sleep: Callable[[float], None] = time.sleep):
         self.inner, self.max_retries, self.base, self.most, self.jitter, self.retryable, self.sleep = inner, max_retries, base, most, jitter, retryable, sleep
         self.streams = getattr(inner, "streams", False)
 
     def request(self, method: str, url: str, headers: dict | None = None, body=None) -> Response:
-        for attempt in range(self.max_retries + 1):
+        body = body_bytes(body)
+        most = self.max_retries if body is None or isinstance(body, bytes) else 0
+        for attempt in range(most + 1):
             response = self.inner.request(method, url, headers, body)
-            if response.status not in self.retryable or attempt == self.max_retries:
+            if response.status not in self.retryable or attempt == most:
                 return response
             delay = backoff_delay(attempt, self.base, self.most)
             self.sleep(delay + delay * self.jitter * random.random())
@@ -239,7 +363,11 @@ class Client:
             return
         headers = self.headers | {"Accept": 'multipart/related; type="application/dicom"'}
         response = self._checked(self.transport.stream("GET", self._url(*self._path(study, series, instance)), headers, chunk_size=chunk_size))
-        yield from parse(response.stream(), response.header("content-type") or "")
+        try:
+            yield from parse(response.stream(), response.header("content-type") or "")
+        except ValueError:
+            response.drain()  # so that the connection can be used again
+            raise
 
     def study_metadata(self, study: str) -> list[dict]:
         return self._search("studies", checked_uid(study), "metadata")
@@ -253,7 +381,11 @@ class Client:
         else:
             body, kind = build(instances, content_type, boundary)
         headers = self.headers | {"Content-Type": kind, "Accept": "application/dicom+json"}
-        return self._checked(self.transport.request("POST", url, headers, body))
+        if isinstance(body, bytes):
+            return self._checked(self.transport.request("POST", url, headers, body))
+        # a body made as it is sent is sent once: streams are never retried
+        response = self.transport.stream("POST", url, headers, body)
+        return self._checked(Response(response.status, response.headers, b"".join(response.stream())))
 
 
 class Page(InputPartition):
@@ -272,13 +404,12 @@ def client_of(options: dict) -> Client:
         module, _, name = factory.partition(":")
         transport = getattr(importlib.import_module(module), name)()
     else:
-        transport = HttpTransport(float(options.get("timeout", "30")))
+        transport = PooledTransport(float(options.get("timeout", "30")))
     transport = RetryTransport(transport, int(options.get("retries", str(MAX_RETRIES))))
     return Client(options["url"], BearerTransport(transport, options["token"]) if options.get("token") else transport)
 
 
 SCHEMA = ", ".join(f"{k} string" for k in ("PatientID", "PatientName", "Modality", "StudyDate", "AccessionNumber", "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID")) + ", dataset string"
-PUSHED = {k.split(" ")[0] for k in SCHEMA.split(", ")} - {"dataset"}
 
 
 class DicomwebReader(DataSourceReader):
@@ -296,13 +427,6 @@ class DicomwebReader(DataSourceReader):
             if key.lower().startswith("match."):
                 self.query = self.query.match(by_lower.get(key[6:].lower(), key[6:]), value)
 
-    def pushFilters(self, filters):
-        for f in filters:
-            # values with range or wildcard characters mean something else to a server
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED and isinstance(f.value, str) and not set("*?-\\") & set(f.value):
-                self.query = self.query.match(f.attribute[0], f.value)
-            yield f  # names match case-insensitively on some servers, so Spark tests again
-
     def partitions(self):
         size, pages = self._size(), max(1, int(self.options.get("pages", "1")))
         return [Page(i * size, (i + 1) * size if i + 1 < pages else None) for i in range(pages)]
@@ -329,6 +453,82 @@ class DicomwebReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*columns, pa.array([json.dumps(i, ensure_ascii=False) for i in found], pa.string())], names=names)
 
 
+def _asked(df: DataFrame, keys: list[str | None], options: dict, schema: str, answer) -> DataFrame:
+    """Rows of ``answer(client, uids)`` for each row of ``df``, behind its identifiers; a failed request is one row
+    with its error. A task has one client, so its connections stay open."""
+    names = [k for k in keys if k]
+    fields = [*names, *(f.strip().split(" ")[0] for f in schema.split(", ")), "error"]
+
+    def run(batches):
+        import pandas as pd
+
+        client = client_of(options)
+        for batch in batches:
+            for uids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    rows = [(*uids, *row, None) for row in answer(client, uids)]
+                except (DicomwebError, ValueError, OSError) as problem:
+                    rows = [(*uids, *[None] * (len(fields) - len(uids) - 1), str(problem))]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=fields, dtype=object), preserve_index=False, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    text = ", ".join(f"`{n}` string" for n in names) + f", {schema}, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(text))
+    return df.select(*[F.col(n).cast("string") for n in names]).mapInArrow(run, text)
+
+
+def retrieve_parts(df: DataFrame, options: dict, study: str, series: str | None = None, instance: str | None = None) -> DataFrame:
+    """(identifiers, pos, content_type, body, error): the parts of the study, series or instance of each row, as they
+    arrive. ``options`` are those of the data source."""
+
+    def answer(client: Client, uids):
+        for pos, part in enumerate(client.iter_parts(*uids)):
+            yield pos, part.content_type, part.body
+
+    return _asked(df, [study, series, instance], options, "pos int, content_type string, body binary", answer)
+
+
+def retrieve_whole(df: DataFrame, options: dict, study: str, series: str | None = None, instance: str | None = None) -> DataFrame:
+    """(identifiers, content_type, body, error): the whole response for the study, series or instance of each row."""
+
+    def answer(client: Client, uids):
+        r = client.retrieve(*uids)
+        yield r.header("content-type"), r.body
+
+    return _asked(df, [study, series, instance], options, "content_type string, body binary", answer)
+
+
+def retrieve_metadata(df: DataFrame, options: dict, study: str) -> DataFrame:
+    """(study, pos, dataset, error): the metadata of each row's study, a DICOM JSON text an instance."""
+
+    def answer(client: Client, uids):
+        for pos, found in enumerate(client.study_metadata(*uids)):
+            yield pos, json.dumps(found, ensure_ascii=False)
+
+    return _asked(df, [study], options, "pos int, dataset string", answer)
+
+
+def store_column(df: DataFrame, options: dict, id_col: str, contents_col: str, lazily: bool = False) -> DataFrame:
+    """(id, status, response, error): one store request a row, of all its contents (an array of binaries)."""
+
+    def run(batches):
+        client = client_of(options)
+        for batch in batches:
+            rows = []
+            for key, contents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    r = client.store(contents or [], lazily=lazily)
+                    rows.append((key, r.status, r.body.decode("utf-8", "replace"), None))
+                except (DicomwebError, ValueError, OSError) as problem:
+                    rows.append((key, None, None, str(problem)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=[id_col, "status", "response", "error"])
+
+    return df.select(F.col(id_col).cast("string"), F.col(contents_col).cast("array<binary>")).mapInArrow(run, f"`{id_col}` string, status int, response string, error string")
+
+
 class Stored(WriterCommitMessage):
     def __init__(self, n: int):
         self.n = n
@@ -368,7 +568,6 @@ class DicomwebDataSource(DataSource):
 
 
 def register(spark) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(DicomwebDataSource)
 
 
