@@ -87,8 +87,8 @@ def test_codecs(spark):
 
 
 def test_query_builder(spark):
-    q = qido.Query().patient_id("123").modality("CT").study_date("20260101-20260131").include_field("StudyInstanceUID").include_field("all").limit(3).limit(25).offset(5)
-    assert q.to_query_string() == "PatientID=123&Modality=CT&StudyDate=20260101-20260131&includefield=StudyInstanceUID&includefield=all&limit=25&offset=5"
+    q = qido.Query().modality("MR").limit(3).study_date("-19991231").patient_id("a b").include_field("all").include_field("00100010").offset(40).limit(7)
+    assert q.to_query_string() == "Modality=MR&StudyDate=-19991231&PatientID=a+b&includefield=all&includefield=PatientName&offset=40&limit=7"
     with pytest.raises(ValueError):
         q.limit(-1)
     df = spark.createDataFrame([("a_1", "20260105"), ("ab1", "20260205")], "PatientID string, StudyDate string")
@@ -98,7 +98,7 @@ def test_query_builder(spark):
 
 @pytest.mark.parametrize("size", [1, 3, 32, 128, 4096])
 def test_multipart_in_any_chunks(size):
-    parts = [multipart.Part(b"first\r\n", {"x-a": "1"}), multipart.Part(b"second"), multipart.Part(bytes(range(256)) * 16), multipart.Part(b"")]
+    parts = [multipart.Part(b"\r\n--no boundary\r\n", {"x-a": "1"}), multipart.Part(b"-"), multipart.Part(bytes(range(255, -1, -1)) * 9), multipart.Part(b"")]
     body, kind = multipart.build(parts)
     body = b"preamble\r\n" + body
     got = list(multipart.parse((body[i : i + size] for i in range(0, len(body), size)), kind))
@@ -142,7 +142,7 @@ def test_messages_and_negotiation(spark):
 
 def test_files(spark, tmp_path):
     dicom_file.register(spark)
-    dataset = {TAG_OF["SOPClassUID"]: {"vr": "UI", "Value": ["1.2"]}, UID: {"vr": "UI", "Value": ["1.2.3"]}, NAME: {"vr": "PN", "Value": [{"Alphabetic": "山田^太郎"}]}, "00111001": {"vr": "OB", "InlineBinary": "AAE="}, "00081115": {"vr": "SQ", "Value": [{NAME: {"vr": "PN", "Value": [{"Alphabetic": "B"}]}}]}, TAG_OF["Rows"]: {"vr": "US", "Value": [7]}}
+    dataset = {TAG_OF["SpecificCharacterSet"]: {"vr": "CS", "Value": ["ISO_IR 192"]}, TAG_OF["SOPClassUID"]: {"vr": "UI", "Value": ["1.2"]}, UID: {"vr": "UI", "Value": ["1.2.3"]}, NAME: {"vr": "PN", "Value": [{"Alphabetic": "山田^太郎"}]}, "00111001": {"vr": "OB", "InlineBinary": "AAE="}, "00081115": {"vr": "SQ", "Value": [{NAME: {"vr": "PN", "Value": [{"Alphabetic": "B"}]}}]}, TAG_OF["Rows"]: {"vr": "US", "Value": [7]}}
     data = dicom_file.encode(dataset, b"\1\2\3")
     back, pixels = dicom_file.parse(data)
     assert all(back[t] == e for t, e in dataset.items()) and pixels == b"\1\2\3\0"
@@ -153,6 +153,9 @@ def test_files(spark, tmp_path):
     assert len(rows) == 3 and sum(r.error is not None for r in rows) >= 1 and all(r.pixel_data is None for r in rows)
     with pytest.raises(ValueError):
         dicom_file.encode({})
+    # a name that the default repertoire lacks is no file, and nothing else in its place
+    with pytest.raises(ValueError, match="00100010"):
+        dicom_file.encode({t: e for t, e in dataset.items() if t != TAG_OF["SpecificCharacterSet"]})
 
 
 class Fake:
@@ -194,8 +197,10 @@ def test_search_source(spark):
     page = lambda n: f"http://x/studies?Modality=CT&limit=2&offset={n}"
     answers = {page(0): f"[{item % 1},{item % 2}]", page(2): f"[{item % 3}]"}
     options = {"url": "http://x", "pages": "2", "pageSize": "2", "responses": json.dumps(answers)}
-    df = spark.read.format("dicomweb").options(**options).load()
-    assert sorted(r.PatientID for r in df.filter("Modality = 'CT'").collect()) == ["1", "2", "3"]
+    df = spark.read.format("dicomweb").options(**options, **{"match.Modality": "CT"}).load()
+    # filters are applied to what was read, and leave nothing behind for the next plan
+    assert df.filter("PatientID = '2'").count() == 1 and df.filter("PatientID = '3'").unionByName(df.filter("PatientID = '1'")).count() == 2
+    assert sorted(r.PatientID for r in df.collect()) == ["1", "2", "3"]
     with pytest.raises(Exception, match="404"):
         spark.read.format("dicomweb").options(**options).load().collect()
 
@@ -234,7 +239,7 @@ def test_batch(spark, tmp_path):
     (tmp_path / "in" / "bad.dcm").write_bytes(b"x")
     rows = batch.anonymize_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
     assert sorted((r.name, r.ok, r.shared_name) for r in rows) == [("bad.dcm", False, False), ("same.dcm", True, True), ("same.dcm", True, True)]
-    back = [dicom_file.parse(p.read_bytes()) for p in (tmp_path / "out").iterdir()]
+    back = [dicom_file.parse(p.read_bytes()) for p in (tmp_path / "out").glob("*.dcm")]
     assert len(back) == 2 and all(d[NAME]["Value"][0]["Alphabetic"] == "Anonymous" and p == b"\1\2" for d, p in back)
     named = maps(spark, {NAME: "A", TAG_OF["Rows"]: " 7", TAG_OF["Columns"]: "x"}).select(*batch.named_attributes(F.col("ds"))).first()
     assert (named.PatientName, named.Rows, named.Columns, named.NumberOfFrames, named.Modality) == ("A", 7, None, 1, "")

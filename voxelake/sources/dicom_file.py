@@ -149,9 +149,11 @@ class _Reader:
         return text_of(raw, vr, charset)
 
 
-def _parse(data: bytes, stop: bool, force: bool) -> tuple[dict, bytes | None, bool]:
-    """(dataset, pixel bytes, whether reading stopped before the pixels)."""
+def _parse(data: bytes, stop: bool, force: bool, whole: bool = True) -> tuple[dict, bytes | None, bool]:
+    """(dataset, pixel bytes, whether reading stopped before the pixels); ``whole`` says that the file ends with the data."""
     at, syntax, meta = 0, IMPLICIT, {}
+    if not whole and len(data) < 132:
+        raise CutShort("the preamble is cut short")
     if data[128:132] == b"DICM":
         reader = _Reader(data, True, True, False)
         at = 132
@@ -161,6 +163,8 @@ def _parse(data: bytes, stop: bool, force: bool) -> tuple[dict, bytes | None, bo
                 raise CutShort(f"{tag} is cut short")
             meta[tag] = reader.element(tag, vr, data[start : start + n], None, 0)
             at = start + n
+        if not whole and at + 8 > len(data):
+            raise CutShort("the file meta may be cut short")
         syntax = meta.get(TAG_OF["TransferSyntaxUID"], {}).get("Value", [EXPLICIT_LITTLE])[0]
     elif not force:
         raise ValueError("no DICM mark after the preamble")
@@ -188,7 +192,7 @@ def read_file(file, size: int, stop: bool, force: bool) -> tuple[dict, bytes | N
         piece = file.read(max(FIRST_BYTES, len(data)))
         data += piece
         try:
-            dataset, pixels, stopped = _parse(data, True, force)
+            dataset, pixels, stopped = _parse(data, True, force, len(data) >= size or not piece)
         except (CutShort, struct.error):
             if not piece or len(data) >= size:
                 raise
