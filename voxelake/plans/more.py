@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxelake.dims import SOP_CLASSES, STARTER, TAG_OF
 from voxelake.functions import pixels as px, tags, text
 from voxelake.operators import batch, deid, djson, frames, model, multipart, service, transfer, validate
-from voxelake.plans.catalogue import CHARSET_TERMS, CHARSET_TEXTS, ELEMENT_SQL, INSTANCES, STUDIES, _embedding_frames, _nested_json, _new_folder, _pick, _pick_sql, _remap_sql, query
+from voxelake.plans.catalogue import CHARSET_TERMS, CHARSET_TEXTS, ELEMENT_SQL, INSTANCES, STUDIES, SUPPORTED, _embedding_frames, _nested_json, _new_folder, _pick, _pick_sql, _remap_sql, query
 from voxelake.plans.projection import instances, studies, study_dataset
 from voxelake.session import table
 from voxelake.sources import dicom_file, dicomweb
@@ -439,6 +439,106 @@ def search_scan(spark, d):
     return one.load().select(*names).unionByName(two.options(level="series", study="1.2.3").load().select(*names))
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CASE WHEN event_id % 10 = 1 THEN 45056 ELSE 0 END END AS stored, CASE WHEN event_id % 10 = 0 THEN 'no room for ' || event_id END AS error,
+       'P' || event_id AS found, CASE WHEN event_id % 3 = 0 THEN 42753 ELSE 0 END AS moved, 0 AS echo
+FROM events
+""")
+def association_session(spark, d):
+    """Echo, find, move and store over an association with a server of the task's own, for each row."""
+    import asyncio
+
+    from voxelake.sources import association
+
+    async def talk(keys: list[int]) -> list[tuple]:
+        async def store(dataset):
+            if dataset["n"] % 10 == 0:
+                raise ValueError(f"no room for {dataset['n']}")
+            return 0xB000 if dataset["n"] % 10 == 1 else None
+
+        async def find(asked):
+            return [{"00100020": f"P{asked['n']}"}]
+
+        async def move(asked, destination):
+            return 0xA701 if asked["n"] % 3 == 0 else None
+
+        rows = []
+        async with await association.Server("STORE", SUPPORTED, find=find, move=move, store=store).start() as server:
+            async with await association.Association.connect("127.0.0.1", server.bound_port, "ME", "STORE", [*SUPPORTED, "9.9"]) as peer:
+                for n in keys:
+                    try:
+                        stored, error = await peer.c_store({"n": n, "7FE00010": b"data"}), None
+                    except RuntimeError as problem:
+                        stored, error = None, str(problem)
+                    rows.append((n, stored, error, (await peer.c_find({"n": n}))[0]["00100020"], await peer.c_move({"n": n}, "OTHER"), await peer.c_echo()))
+        return rows
+
+    def run(batches):
+        for b in batches:
+            rows = asyncio.run(talk(b.column(0).to_pylist()))
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["event_id", "stored", "error", "found", "moved", "echo"])
+
+    return table(spark, d, "events").select("event_id").mapInArrow(run, "event_id long, stored int, error string, found string, moved int, echo int")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 404 ELSE 200 END AS status, '/c/' || c_custkey || '?x=1 ' || md5(c_name) AS answer, CASE c_custkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'bytes' ELSE 'pieces' END AS kind
+FROM customer
+""")
+def http_session(spark, d):
+    """Bodies as text, bytes and pieces over HTTP, by connections that stay open and by such that do not, to a server of
+    the task's own; error statuses are answers."""
+
+    def run(batches):
+        import hashlib
+        import http.server
+        import threading
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            protocol_version, disable_nagle_algorithm = "HTTP/1.1", True
+
+            def do_POST(self):
+                body, n = b"", int(self.headers.get("Content-Length", "-1"))
+                if n < 0:
+                    while n := int(self.rfile.readline(), 16):
+                        body += self.rfile.read(n)
+                        self.rfile.readline()
+                    self.rfile.readline()
+                else:
+                    body = self.rfile.read(n)
+                answer = f"{self.path} {hashlib.md5(body).hexdigest()}".encode()
+                self.send_response(404 if int(self.path.split("/")[2].split("?")[0]) % 7 == 0 else 200)
+                self.send_header("Content-Length", str(len(answer)))
+                self.end_headers()
+                self.wfile.write(answer)
+
+            def log_message(self, *_):
+                pass
+
+        server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        url = f"http://127.0.0.1:{server.server_port}/c/"
+        try:
+            with dicomweb.PooledTransport() as pool:
+                plain = dicomweb.HttpTransport()
+                for b in batches:
+                    rows = []
+                    for key, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        kind = ("text", "bytes", "pieces")[key % 3]
+                        body = {"text": name, "bytes": bytearray(name.encode()), "pieces": iter([name[:3].encode(), name[3:].encode()])}[kind]
+                        # one in fifty by a connection of its own
+                        r = (plain if key % 50 == 0 and kind != "pieces" else pool).stream("POST", f"{url}{key}?x=1", {"X-Kind": kind}, body, chunk_size=7)
+                        rows.append((key, r.status, b"".join(r.stream()).decode(), kind))
+                    cols = zip(*rows, strict=True) if rows else [[]] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["c_custkey", "status", "answer", "kind"])
+        finally:
+            server.shutdown()
+
+    return table(spark, d, "customer").select("c_custkey", "c_name").mapInArrow(run, "c_custkey long, status int, answer string, kind string")
+
+
 # --- files ----------------------------------------------------------------------------------------------------------
 
 #: Implicit, explicit, big endian, deflated, and two compressed syntaxes.
