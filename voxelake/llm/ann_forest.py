@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelake.llm.common import tune, written
 
-TREES = 300
+TREES = 200
 SYMBOLS = 32
 #: Coordinates that the first symbol chooses from at most; groups that later symbols stand for, and their coordinates.
 FIRST, GROUPS, GROUP = 64, 3, 8
 #: Candidates sought in a block of n rows for k neighbours: this many times k ** 0.5 * n ** 0.75,
 #: and 10 * k at least.
-EFFORT = 0.6
+EFFORT = 0.55
 BLOCK_ROWS = 16384
 #: Queries answered at a time.
 BATCH_QUERIES = 256
@@ -220,7 +220,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     queries = rows.filter(F.col("id") % every == 0).groupBy("dim", "blocks", "id").agg(F.min("v").alias("v"))
     asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "id", "v", F.lit(1).cast("long").alias("n"))
     # a block's rows come first, then its queries
-    met = placed.unionByName(asked).repartition(total, "dim", "block").sortWithinPartitions("dim", "block", "asks", "id")
+    # three partitions a block, so that hashing rarely puts two blocks into one
+    met = placed.unionByName(asked).repartition(3 * total, "dim", "block").sortWithinPartitions("dim", "block", "asks", "id")
 
     def run(batches):
         def table(parts):
