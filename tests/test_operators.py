@@ -287,3 +287,25 @@ def test_stream(spark, tmp_path):
     stream = store.incoming(spark, f"{tmp_path}/in", df.schema, files_per_trigger=2)
     store.store(stream, f"{tmp_path}/out", f"{tmp_path}/state", transform=lambda b: b.filter("id >= 10"), now=True).awaitTermination()
     assert spark.read.schema(df.schema).parquet(f"{tmp_path}/out").count() == 90
+
+
+def test_retrieved_rows_leave_a_task_in_batches(monkeypatch, spark):
+    """Batches bounded in rows and bytes, not one a row, in the order of the rows."""
+    import pyarrow as pa
+
+    held, options = [], {"url": "http://host/dicom", "transport": "voxelake.sources.dicomweb:EchoTransport"}
+    monkeypatch.setattr(dicomweb, "spread", lambda df: type("Kept", (), {"mapInArrow": lambda self, run, text: held.append(run)})(), raising=False)
+    ids = ["0" if i % 50 == 0 else f"1.{i}" for i in range(6000)]
+    given = [pa.RecordBatch.from_pydict({"study": ids[:3000]}), pa.RecordBatch.from_pydict({"study": ids[3000:]})]
+    df = spark.range(1).selectExpr("'1' as study")
+    for ask in (dicomweb.retrieve_parts, dicomweb.retrieve_whole, dicomweb.retrieve_metadata):
+        ask(df, options, "study")
+        out = list(held.pop()(given))
+        assert [x for b in out for x in b.column("study").to_pylist()] == ids
+        assert sum(x == "status 404" for b in out for x in b.column("error").to_pylist()) == 120
+        assert [b.num_rows for b in out] == [4096, 1904]
+    monkeypatch.setattr(dicomweb, "BATCH_BYTES", 1000)
+    dicomweb.retrieve_whole(df, options, "study")
+    out = list(held.pop()(given))
+    assert sum(b.num_rows for b in out) == 6000
+    assert max(sum(len(x or b"") for x in b.column("body").to_pylist()) for b in out) < 1200
