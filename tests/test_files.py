@@ -262,3 +262,22 @@ def test_pooled_connections():
             pool.request("GET", url)
     finally:
         server.shutdown()
+
+
+def test_packed_events_are_those_of_the_rules(spark):
+    """Only attributes that are there are worked on; the other rules' events follow from the plan."""
+    pn = {"vr": "PN", "Value": [{"Alphabetic": "B"}]}
+    cases = [{}, {"00100010": pn, "00081115": {"vr": "SQ", "Value": [{"00080018": {"vr": "UI", "Value": ["1.2"]}}, {}, {"00091010": {"vr": "SQ", "Value": [{"00100010": pn}]}}]}}, {"00120062": {"vr": "CS", "Value": ["NO"]}, "0020000d": {"vr": "UI"}}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(9, None)], "id int, dataset string")
+    plan = deid.starter_plan()
+    events = deid.audit_nested(df, "id", "dataset", plan, redact_previous=False).collect()
+    packed = {(r.id, tuple(r.path), tuple(r.item_path)): r for r in deid.audited_datasets(df, "id", "dataset", plan, redact_previous=False).collect()}
+    assert len(packed) == 7 and len(events) == 7 * len(plan.final) and all(r.events == len(plan.final) and len(r.told) <= 5 for r in packed.values())
+    for e in events:
+        tag, action, replacement = plan.final[e.pos]
+        assert (e.tag8, e.action) == (tag, action)
+        told = packed[e.id, tuple(e.path), tuple(e.item_path)].told.get(e.pos)
+        absent = (False, False, None, "" if action == "REMAP_UID" else replacement, None)
+        assert (e.present, e.after_present, e.previous_value, e.replacement, e.new_value) == (tuple(told) if told else absent)
+    assert [e.replacement for e in events if e.id == 0 and e.action == "REMAP_UID"] == [""] * len(plan.tags("REMAP_UID"))
+    assert [(e.present, e.after_present) for e in events if e.id == 0 and e.tag8 in plan.tags("REPLACE") and e.after_present] == [(False, True)] * 3

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import json
 from dataclasses import dataclass, field
 
@@ -33,6 +34,9 @@ class Plan:
     uid_root: str = DEFAULT_ROOT
     uid_salt: str = DEFAULT_SALT
     final: list[tuple[str, str, str | int | None]] = field(init=False)
+    #: The places of the rules in ``final`` by tag, and of those that act on absent attributes too.
+    places: dict[str, int] = field(init=False)
+    always: list[int] = field(init=False)
 
     def __post_init__(self):
         last: dict[str, tuple] = {}
@@ -43,6 +47,8 @@ class Plan:
                 raise ValueError("SHIFT_DATE takes a whole number of days")
             last[tag] = (tag, action, replacement)
         object.__setattr__(self, "final", list(last.values()))
+        object.__setattr__(self, "places", {t: i for i, (t, _, _) in enumerate(self.final)})
+        object.__setattr__(self, "always", [i for i, (t, a, _) in enumerate(self.final) if a == "REPLACE" and t in MARKERS])
 
     def tags(self, action: str) -> list[str]:
         return [t for t, a, _ in self.final if a == action]
@@ -118,37 +124,77 @@ def audit(df: DataFrame, id_col: str, ds_col: str, plan: Plan, redact_previous:
     )
 
 
-EVENT = "path array<string>, item_path array<int>, pos int, tag8 string, action string, present boolean, after_present boolean, previous_value string, replacement string, new_value string"
+TOLD = "present boolean, after_present boolean, previous_value string, replacement string, new_value string"
+EVENT = f"path array<string>, item_path array<int>, pos int, tag8 string, action string, {TOLD}"
 
 
-def audit_nested(df: DataFrame, id_col: str, json_col: str, plan: Plan, redact_previous: bool = True) -> DataFrame:
-    """The events of `deidentify_nested`: one for every rule and dataset, the outer one and each sequence item that
-    its own rules left, those of private sequences too, as rules come before the removal of private elements.
-
-    ``path`` are the sequences' tags from outside in, ``item_path`` the items' places in them; values are JSON. A null
-    dataset has no event.
+def audited_datasets(df: DataFrame, id_col: str, json_col: str, plan: Plan, redact_previous: bool = True) -> DataFrame:
+    """The events of `audit_nested`, packed: a row for each dataset, the outer one and each sequence item, (id, path,
+    item_path, events, told). ``events`` is their number; ``told`` has those of attributes that are there before or
+    after, by the rule's place. All others are told by the plan alone; `event_of` has the event of any rule.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    fields = [f.split(" ")[0] for f in TOLD.split(", ")]
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
+            at, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text is not None:
-                    events: list[tuple] = []
-                    _apply(json.loads(text), plan, events, (), ())
-                    at += [i] * len(events)
-                    rows += events
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
-            types = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.string()] * 3]
-            names = [id_col, *(f.strip().split(" ")[0] for f in EVENT.split(", "))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
-
-    out = df.select(F.col(id_col), F.col(json_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, {EVENT}")
-    if not redact_previous:
-        return out
-    same = F.col("new_value") == F.col("previous_value")
-    return out.withColumn("new_value", F.when(~F.coalesce(same & (F.col("action") == "SHIFT_DATE"), F.lit(False)), F.col("new_value"))).withColumn("previous_value", F.lit(None).cast("string"))
+                    before = len(found)
+                    _apply(json.loads(text), plan, found, (), ())
+                    at += [i] * (len(found) - before)
+            events = [e for _, _, told in found for e in told]
+            ends = [0, *itertools.accumulate(len(told) for _, _, told in found)]
+            pos, *cols = zip(*events, strict=True) if events else [[]] * 6
+            types = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
+            told = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=fields))
+            paths = (pa.array([p for p, _, _ in found], pa.list_(pa.string())), pa.array([p for _, p, _ in found], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *paths, told], names=[id_col, "path", "item_path", "told"])
+
+    struct = ", ".join(f.replace(" ", ": ") for f in TOLD.split(", "))
+    out = df.select(F.col(id_col), F.col(json_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, path array<string>, item_path array<int>, told map<int, struct<{struct}>>")
+    if redact_previous:
+        shifted = F.array(*[F.lit(plan.places[t]) for t in plan.tags("SHIFT_DATE")]).cast("array<int>")
+        same = lambda k, e: F.coalesce((e["new_value"] == e["previous_value"]) & F.array_contains(shifted, k), F.lit(False))
+        kept = lambda k, e: e.withField("new_value", F.when(~same(k, e), e["new_value"])).withField("previous_value", F.lit(None).cast("string"))
+        out = out.withColumn("told", F.transform_values("told", kept))
+    return out.select(id_col, "path", "item_path", F.lit(len(plan.final)).alias("events"), "told")
+
+
+def _absent(action: str, replacement) -> str | None:
+    """What the event of a rule tells as its replacement where the attribute is absent."""
+    return "" if action == "REMAP_UID" else None if replacement is None else str(replacement)
+
+
+def _told(told: Column, pos: Column, absent: Column) -> dict[str, Column]:
+    found = F.try_element_at(told, pos)
+    return {
+        "present": F.coalesce(found["present"], F.lit(False)),
+        "after_present": F.coalesce(found["after_present"], F.lit(False)),
+        "previous_value": found["previous_value"],
+        "replacement": F.when(found.isNull(), absent).otherwise(found["replacement"]),
+        "new_value": found["new_value"],
+    }
+
+
+def event_of(told: Column, plan: Plan, tag: str) -> dict[str, Column]:
+    """The event of the tag's rule in a row of `audited_datasets`, by field."""
+    _, action, replacement = plan.final[plan.places[tag]]
+    return _told(told, F.lit(plan.places[tag]), F.lit(_absent(action, replacement)).cast("string"))
+
+
+def audit_nested(df: DataFrame, id_col: str, json_col: str, plan: Plan, redact_previous: bool = True) -> DataFrame:
+    """The events of `deidentify_nested`: one for every rule and dataset, the outer one and each sequence item that
+    its own rules left, those of private sequences too, as rules come before the removal of private elements.
+
+    ``path`` are the sequences' tags from outside in, ``item_path`` the items' places in them; values are JSON. A null
+    dataset has no event.
+    """
+    rules = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("tag8"), F.lit(a).alias("action"), F.lit(_absent(a, r)).cast("string").alias("absent")) for i, (t, a, r) in enumerate(plan.final)])
+    rows = audited_datasets(df, id_col, json_col, plan, redact_previous).select(id_col, "path", "item_path", "told", F.explode(rules).alias("r"))
+    told = _told(F.col("told"), F.col("r.pos"), F.col("r.absent"))
+    return rows.select(id_col, "path", "item_path", "r.pos", "r.tag8", "r.action", *[c.alias(k) for k, c in told.items()])
 
 
 def reports(events: DataFrame, id_col: str, plan: Plan, private_removed: DataFrame | None = None) -> DataFrame:
@@ -216,22 +262,27 @@ def _ruled(tag: str, action: str, replacement, element: dict | None, plan: Plan)
     return element
 
 
-def _apply(dataset: dict, plan: Plan, events: list | None, path: tuple, places: tuple) -> dict:
-    """The plan on a dataset, then on the items left in it, then the removal of private elements."""
-    out = {tag.upper(): element for tag, element in dataset.items()}
-    for pos, (tag, action, replacement) in enumerate(plan.final):
+def _apply(dataset: dict, plan: Plan, found: list | None, path: tuple, places: tuple) -> dict:
+    """The plan on a dataset, then on the items left in it, then the removal of private elements. ``found`` takes
+    (path, places, events) of the dataset and then of its items. Rules of absent attributes have nothing to do, but
+    for markers, so those of present ones are looked up."""
+    out, told = {tag.upper(): element for tag, element in dataset.items()}, []
+    for pos in sorted({*plan.always, *(plan.places[tag] for tag in out.keys() & plan.places.keys())}):
+        tag, action, replacement = plan.final[pos]
         before = out.get(tag)
         after = _ruled(tag, action, replacement, before, plan)
         if after is None:
             out.pop(tag, None)
         else:
             out[tag] = after
-        if events is not None:
-            told = (_shown(after) or "") if action == "REMAP_UID" else None if replacement is None else str(replacement)
-            events.append((list(path), list(places), pos, tag, action, before is not None, after is not None, _shown(before), told, _shown(after)))
+        if found is not None:
+            said = (_shown(after) or "") if action == "REMAP_UID" else _absent(action, replacement)
+            told.append((pos, before is not None, after is not None, _shown(before), said, _shown(after)))
+    if found is not None:
+        found.append((path, places, told))
     for tag, element in out.items():
         if element.get("vr") == "SQ":
-            items = [_apply(x, plan, events, (*path, tag), (*places, i)) if isinstance(x, dict) else x for i, x in enumerate(element.get("Value", []))]
+            items = [_apply(x, plan, found, (*path, tag), (*places, i)) if isinstance(x, dict) else x for i, x in enumerate(element.get("Value", []))]
             out[tag] = element | {"Value": items}
     return {tag: element for tag, element in out.items() if int(tag[3], 16) % 2 == 0} if plan.remove_private else out
 
