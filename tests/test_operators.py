@@ -309,3 +309,11 @@ def test_retrieved_rows_leave_a_task_in_batches(monkeypatch, spark):
     out = list(held.pop()(given))
     assert sum(b.num_rows for b in out) == 6000
     assert max(sum(len(x or b"") for x in b.column("body").to_pylist()) for b in out) < 1200
+
+
+def test_pixel_rules_look_at_the_dataset_once(spark):
+    """The map stood in the plan once for every field and rule that reads it."""
+    ds = F.create_map(F.lit("00280010"), F.concat(F.lit("made "), F.col("id").cast("string")))
+    for error in (validate.pixel_error(ds), transfer.capability_error(ds, F.lit("1.2.840.10008.1.2"), F.lit(b"\0"))):
+        plan = spark.range(1).select(error.alias("error"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("made ") == 1

@@ -52,9 +52,7 @@ def dataset_number(ds: Column, keyword: str, default: float) -> Column:
     return F.when(raw.isNull(), F.lit(default)).when(number(raw).isNotNull(), number(raw)).otherwise(bad.cast("double"))
 
 
-def metadata_errors(m: dict[str, Column]) -> Column:
-    """All violated rules, in checking order. ``m`` has columns by keyword: the `POSITIVE` ones, HighBit,
-    PixelRepresentation, PhotometricInterpretation and PlanarConfiguration."""
+def _rules(m: dict[str, Column]) -> list[Column]:
     text = lambda c: c.cast("string")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else text(p) for p in parts])
     photo = photometric(m["PhotometricInterpretation"])
@@ -72,12 +70,18 @@ def metadata_errors(m: dict[str, Column]) -> Column:
         F.when(samples != expected_samples(photo), say(photo, " usually requires SamplesPerPixel ", expected_samples(photo), ", got ", samples, ".")),
         F.when((samples > 1) & ~F.coalesce(m["PlanarConfiguration"].isin(0, 1), F.lit(False)), F.lit("PlanarConfiguration must be 0 or 1 when SamplesPerPixel is greater than 1.")),
     ]
-    return F.filter(F.array(*rules), lambda r: r.isNotNull())
+    return rules
+
+
+def metadata_errors(m: dict[str, Column]) -> Column:
+    """All violated rules, in checking order. ``m`` has columns by keyword: the `POSITIVE` ones, HighBit,
+    PixelRepresentation, PhotometricInterpretation and PlanarConfiguration."""
+    return F.filter(F.array(*_rules(m)), lambda r: r.isNotNull())
 
 
 def metadata_error(m: dict[str, Column]) -> Column:
-    """The first violated rule, null if there is none."""
-    return F.try_element_at(metadata_errors(m), F.lit(1))
+    """The first violated rule, null if there is none; rules behind it are not looked at."""
+    return F.coalesce(*_rules(m))
 
 
 def frame_sizes(m: dict[str, Column]) -> Column:

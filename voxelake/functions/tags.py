@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from voxelake.dims import FILE_VR, JSON_VR, KEYWORD_OF, TAG_OF
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once a row: a column named twice in an expression may be computed twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lookup(table: dict, key: Column) -> Column:
     """A value of a small fixed dictionary, null where it lacks the key."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelake.dims import NATIVE_CODECS, NATIVE_SYNTAXES, TRANSFER_SYNTAXES
 from voxelake.functions.pixels import frame_sizes, length_error
-from voxelake.functions.tags import lookup
+from voxelake.functions.tags import let, lookup
 from voxelake.operators.validate import pixel_columns, pixel_error
 
 
@@ -58,13 +58,17 @@ def capability_error(ds: Column, syntax: Column, pixel_data: Column, decodable:
     wrong length (of uncompressed data)."""
     native = syntax.isin(*NATIVE_SYNTAXES)
     decodable = native if decodable is None else decodable
-    sizes = frame_sizes(pixel_columns(ds))
-    zero = F.substring(F.hex(pixel_data), -2, 2) == "00"
-    wrong = F.when(native, length_error(F.octet_length(pixel_data), sizes["pixel_bytes"], zero))
-    return (
-        F.when(syntax.isNull() | (syntax == ""), F.lit("TransferSyntaxUID is missing."))
-        .when(pixel_error(ds).isNotNull(), pixel_error(ds))
-        .when(pixel_data.isNull(), F.lit("PixelData is missing."))
-        .when(~decodable, F.concat(F.lit("No codec decodes transfer syntax "), syntax, F.lit(".")))
-        .otherwise(wrong)
-    )
+    zero = F.hex(F.substring(pixel_data, -1, 1)) == "00"
+
+    def judged(ds: Column, error: Column) -> Column:
+        expected = frame_sizes(pixel_columns(ds))["pixel_bytes"]
+        return (
+            F.when(syntax.isNull() | (syntax == ""), F.lit("TransferSyntaxUID is missing."))
+            .when(error.isNotNull(), error)
+            .when(pixel_data.isNull(), F.lit("PixelData is missing."))
+            .when(~decodable, F.concat(F.lit("No codec decodes transfer syntax "), syntax, F.lit(".")))
+            .when(native, let(expected, lambda n: length_error(F.octet_length(pixel_data), n, zero)))
+        )
+
+    # the map and the metadata's error are made once a row
+    return let(ds, lambda ds: let(pixel_error(ds), lambda error: judged(ds, error)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelake.dims import IOD_PROFILES, TAG_OF, dim_iod
 from voxelake.functions.pixels import metadata_error
-from voxelake.functions.tags import tag_label
+from voxelake.functions.tags import let, tag_label
 
 PIXEL_FIELDS = ("SamplesPerPixel", "Rows", "Columns", "BitsAllocated", "BitsStored", "HighBit", "PixelRepresentation")
 
@@ -26,18 +26,28 @@ def pixel_columns(ds: Column) -> dict[str, Column]:
 
 
 def pixel_error(ds: Column) -> Column:
-    """The first thing wrong with the pixel metadata: a missing or unreadable field, else a violated rule."""
+    """The first thing wrong with the pixel metadata: a missing or unreadable field, else a violated rule. The map is
+    made once a row, and each field of it found and read once."""
+    texts = (*PIXEL_FIELDS, "PlanarConfiguration", "NumberOfFrames", "PhotometricInterpretation")
+    found = lambda ds: F.struct(*[F.try_element_at(ds, F.lit(TAG_OF[k])).alias(k) for k in texts])
+    whole = lambda raw: F.struct(*[raw[k].try_cast("int").alias(k) for k in texts[:-1]])
+    return let(let(ds, found), lambda raw: let(whole(raw), lambda n: _pixel_error(raw, n)))
+
+
+def _pixel_error(raw: Column, whole: Column) -> Column:
     out = F.lit(None).cast("string")
-    several = F.try_element_at(ds, F.lit(TAG_OF["SamplesPerPixel"])).try_cast("int") > 1
+    several = whole["SamplesPerPixel"] > 1
     # fixed values: the message texts; planes must be told of pixels of several samples, right after their number
     for k in reversed((PIXEL_FIELDS[0], "PlanarConfiguration", *PIXEL_FIELDS[1:], "PhotometricInterpretation")):
-        raw, asked = F.try_element_at(ds, F.lit(TAG_OF[k])), several if k == "PlanarConfiguration" else F.lit(True)
+        asked = several if k == "PlanarConfiguration" else F.lit(True)
         label = f"({TAG_OF[k][:4]},{TAG_OF[k][4:]})"
-        out = F.when(asked & raw.isNull(), F.lit(f"Required pixel metadata tag {k} {label} is missing.")).otherwise(out)
+        out = F.when(asked & raw[k].isNull(), F.lit(f"Required pixel metadata tag {k} {label} is missing.")).otherwise(out)
         if k != "PhotometricInterpretation":
-            bad = asked & raw.isNotNull() & raw.try_cast("int").isNull()
-            out = F.when(bad, F.concat(F.lit(f"Pixel metadata tag {label} must be an integer, got '"), raw, F.lit("'."))).otherwise(out)
-    return F.coalesce(out, metadata_error(pixel_columns(ds)))
+            bad = asked & raw[k].isNotNull() & whole[k].isNull()
+            out = F.when(bad, F.concat(F.lit(f"Pixel metadata tag {label} must be an integer, got '"), raw[k], F.lit("'."))).otherwise(out)
+    fields = {k: whole[k] for k in (*PIXEL_FIELDS, "PlanarConfiguration")}
+    fields |= {"NumberOfFrames": F.coalesce(whole["NumberOfFrames"], F.lit(1)), "PhotometricInterpretation": raw["PhotometricInterpretation"]}
+    return F.coalesce(out, metadata_error(fields))
 
 
 def dataset_issues(ds: Column) -> Column:
