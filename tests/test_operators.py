@@ -317,3 +317,21 @@ def test_pixel_rules_look_at_the_dataset_once(spark):
     for error in (validate.pixel_error(ds), transfer.capability_error(ds, F.lit("1.2.840.10008.1.2"), F.lit(b"\0"))):
         plan = spark.range(1).select(error.alias("error"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("made ") == 1
+
+
+def test_framed_messages_keep_bytes_at_any_depth():
+    sent = {"a": [{"b": b"\x00\xff"}, (1, bytearray(b"x"))], "c": {"__bytes__": "AAE=", "d": 1}, "e": {"__bytes__": "AAE="}}
+    assert list(service.unframe(service.frame(sent) + service.frame({}))) == [{"a": [{"b": b"\x00\xff"}, [1, b"x"]], "c": {"__bytes__": "AAE=", "d": 1}, "e": b"\x00\x01"}, {}]
+    with pytest.raises(TypeError):
+        service.frame({"a": object()})
+
+
+@pytest.mark.parametrize("name", ["association_session", "http_session", "deid_nested", "retrieve_whole"])
+def test_long_rows_are_dealt_over_the_cores(spark, tmp_path, name):
+    """A table of one row group was one task of as many servers, requests or datasets as it has rows."""
+    import __spark_entry__ as entry
+
+    if not __import__("os").path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the generated tables")
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan

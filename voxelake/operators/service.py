@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import functools
 import json
 import struct
 from collections.abc import Iterator
@@ -42,19 +44,29 @@ def status_class(code: Column) -> Column:
     )
 
 
-def frame(message: dict) -> bytes:
-    """Four bytes of length, then the JSON object; bytes and nested datasets keep their kind under wrapper keys."""
+def _wrapped(x):
+    if isinstance(x, (bytes, bytearray)):
+        return {"__bytes__": base64.b64encode(x).decode()}
+    raise TypeError(f"no part of a message: {type(x).__name__}")
+
+
+def _unwrapped(x: dict):
+    return base64.b64decode(x["__bytes__"]) if len(x) == 1 and "__bytes__" in x else x
+
+
+@functools.cache
+def _encoder() -> json.JSONEncoder:
+    return json.JSONEncoder(default=_wrapped)
 
-    def wrap(x):
-        if isinstance(x, (bytes, bytearray)):
-            import base64
 
-            return {"__bytes__": base64.b64encode(x).decode()}
-        if isinstance(x, dict):
-            return {k: wrap(v) for k, v in x.items()}
-        return [wrap(v) for v in x] if isinstance(x, (list, tuple)) else x
+@functools.cache
+def _decoder() -> json.JSONDecoder:
+    return json.JSONDecoder(object_hook=_unwrapped)
 
-    body = json.dumps(wrap(message)).encode()
+
+def frame(message: dict) -> bytes:
+    """Four bytes of length, then the JSON object; bytes and nested datasets keep their kind under wrapper keys."""
+    body = _encoder().encode(message).encode()
     if len(body) > MAX_MESSAGE:
         raise ValueError("the message is too long")
     return struct.pack(">I", len(body)) + body
@@ -62,16 +74,6 @@ def frame(message: dict) -> bytes:
 
 def unframe(data: bytes) -> Iterator[dict]:
     """The messages of a byte string of frames."""
-
-    def unwrap(x):
-        if isinstance(x, dict) and set(x) == {"__bytes__"}:
-            import base64
-
-            return base64.b64decode(x["__bytes__"])
-        if isinstance(x, dict):
-            return {k: unwrap(v) for k, v in x.items()}
-        return [unwrap(v) for v in x] if isinstance(x, list) else x
-
     at = 0
     while at < len(data):
         if at + 4 > len(data):
@@ -81,10 +83,10 @@ def unframe(data: bytes) -> Iterator[dict]:
             raise ValueError(f"a frame of {n} bytes")
         if at + 4 + n > len(data):
             raise ValueError("a frame is cut short")
-        message = json.loads(data[at + 4 : at + 4 + n])
+        message = _decoder().decode(data[at + 4 : at + 4 + n].decode())
         if not isinstance(message, dict):
             raise ValueError("a message must be an object")
-        yield unwrap(message)
+        yield message
         at += 4 + n
 
 
