@@ -335,3 +335,28 @@ def test_long_rows_are_dealt_over_the_cores(spark, tmp_path, name):
         pytest.skip("needs the generated tables")
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
+
+
+def test_keys_of_remapped_identifiers_are_those_of_their_texts(spark):
+    from voxelake.functions import uids
+
+    df = spark.createDataFrame([("1.2.3",), (" 1.2.3 ",), ("",), ("  ",), (None,), *((f"1.{i}",) for i in range(200))], "uid string")
+    rows = df.select(uids.remap_uid(F.col("uid")).alias("text"), uids.uid_of_key(uids.remap_key(F.col("uid"))).alias("by_key"), F.octet_length(uids.remap_key(F.col("uid"))).alias("n")).collect()
+    assert all(r.text == r.by_key for r in rows) and {r.n for r in rows} == {16, 0, None}
+
+
+def test_rollup_of_orders_that_stand_twice(spark, tmp_path):
+    """Distinct studies and series, all instances; no row is expanded for each kind of thing to count."""
+    import datetime
+
+    import __spark_entry__ as entry
+
+    day = datetime.datetime(1995, 1, 1)
+    spark.createDataFrame([(1, "A#B"), (2, "C#D")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 1, day, "1-URGENT"), (1, 2, day, "1-URGENT"), (1, 2, day, "2-HIGH"), (2, 1, day, "9"), (3, 9, day, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 7), (1, 7), (1, 8), (2, 7), (3, 7)]
+    full = [(o, 1, s, i, 1.0, 1.0, "A", "F") for i, (o, s) in enumerate(lines)]
+    spark.createDataFrame(full, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = entry.queries()["hierarchy_rollup"](spark, str(tmp_path))
+    assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in df.collect()} == {("CT", 2, 1, 2, 6), ("MR", 1, 1, 2, 3), (None, 1, 1, 1, 1)}

@@ -30,6 +30,23 @@ def decimal_of_hex(digits: Column) -> Column:
     return F.when(F.length(digits) == 32, F.regexp_replace(text, "^0+(?=.)", ""))
 
 
+def remap_key(uid: Column, salt: str = DEFAULT_SALT) -> Column:
+    """The 16 bytes that decide `remap_uid`: the leading ones of SHA-256(salt NUL uid), none for a blank identifier.
+    To group and count by them is to do so by the substitute, which is their decimal text; null stays null."""
+    bare = F.trim(uid)
+    digest = F.substring(F.unhex(F.sha2(F.concat(F.lit(salt + "\0"), bare), 256)), 1, 16)
+    return F.when(bare == "", F.lit(b"")).otherwise(digest)
+
+
+def uid_of_key(key: Column, root: str = DEFAULT_ROOT) -> Column:
+    """The substitute that a key of `remap_key` stands for."""
+    root = root.rstrip(".")
+    if not root or len(root) > 60:
+        raise ValueError("the root must have 1 to 60 characters")
+    tail = F.substring(decimal_of_hex(F.hex(key)), 1, 64 - len(root) - 1)
+    return F.when(F.octet_length(key) == 0, F.lit("")).otherwise(F.concat(F.lit(root + "."), tail))
+
+
 def remap_uid(uid: Column, root: str = DEFAULT_ROOT, salt: str = DEFAULT_SALT) -> Column:
     """A stable substitute: ``root.`` and the leading 128 bits of SHA-256(salt NUL uid) in decimal, cut to 64 characters.
 
