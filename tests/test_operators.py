@@ -360,3 +360,15 @@ def test_rollup_of_orders_that_stand_twice(spark, tmp_path):
     df = entry.queries()["hierarchy_rollup"](spark, str(tmp_path))
     assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in df.collect()} == {("CT", 2, 1, 2, 6), ("MR", 1, 1, 2, 3), (None, 1, 1, 1, 1)}
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """By rows alone, 400 texts of 100 kB were one batch."""
+    from voxelake.session import prepare
+
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    import pyarrow as pa
+
+    rows = prepare(spark).range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    n = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(n) > 40_000_000 and max(n) < 10_000_000

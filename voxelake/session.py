@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # rows alone do not bound a batch that goes to Python: 10,000 long texts are gigabytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
